@@ -13,12 +13,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import codec, crs, measures, overlay, predicates
 from .codec import POINT
 
 BBOX = ("_bbox_xmin", "_bbox_ymin", "_bbox_xmax", "_bbox_ymax")
-PART = "struct<part:int,ring:int,type:string,xs:array<double>,ys:array<double>>"
+BOX = T.StructType([T.StructField(n, T.DoubleType()) for n in ("xmin", "ymin", "xmax", "ymax")])
+PART = T.StructType([
+    T.StructField("part", T.IntegerType()), T.StructField("ring", T.IntegerType()),
+    T.StructField("type", T.StringType()), T.StructField("xs", T.ArrayType(T.DoubleType())),
+    T.StructField("ys", T.ArrayType(T.DoubleType()))])
 
 
 # --- helpers inside tasks -------------------------------------------------
@@ -123,7 +128,7 @@ def _codes(array) -> np.ndarray:
 
 # --- Arrow UDFs -----------------------------------------------------------
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _point(x: pa.Array, y: pa.Array) -> pa.Array:
     out = codec.encode_points(_floats(x), _floats(y))
     if x.null_count or y.null_count:
@@ -132,7 +137,7 @@ def _point(x: pa.Array, y: pa.Array) -> pa.Array:
     return out
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _box(x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
     values = [_floats(v) for v in (x0, y0, x1, y1)]
     out = codec.encode_boxes(*values)
@@ -142,7 +147,7 @@ def _box(x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
     return out
 
 
-@F.arrow_udf("struct<xmin:double,ymin:double,xmax:double,ymax:double>")
+@F.arrow_udf(BOX)
 def _bounds(geom: pa.Array) -> pa.Array:
     b = measures.bounds(codec.decode(geom))
     return pa.StructArray.from_arrays(
@@ -150,7 +155,7 @@ def _bounds(geom: pa.Array) -> pa.Array:
 
 
 def _measure(fn):
-    @F.arrow_udf("double")
+    @F.arrow_udf(T.DoubleType())
     def measured(geom: pa.Array) -> pa.Array:
         batch = codec.decode(geom)
         return _nullable(fn(batch), batch.kind == 0)
@@ -161,7 +166,7 @@ _area = _measure(measures.area)
 _length = _measure(measures.length)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _centroid(geom: pa.Array) -> pa.Array:
     x, y = measures.centroid(codec.decode(geom))
     out = codec.encode_points(x, y)
@@ -169,17 +174,17 @@ def _centroid(geom: pa.Array) -> pa.Array:
     return pa.compute.if_else(pa.array(~empty), out, pa.scalar(None, pa.binary())) if empty.any() else out
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _text(geom: pa.Array) -> pa.Array:
     return _each(geom, lambda v: codec.to_wkt(codec.parse(v)), pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _geojson(geom: pa.Array) -> pa.Array:
     return _each(geom, lambda v: codec.to_geojson(codec.parse(v)), pa.string())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _from_geojson(text: pa.Array) -> pa.Array:
     def one(v):
         try:
@@ -189,7 +194,7 @@ def _from_geojson(text: pa.Array) -> pa.Array:
     return _each(text, one, pa.binary())
 
 
-@F.arrow_udf("int")
+@F.arrow_udf(T.IntegerType())
 def _srid(geom: pa.Array) -> pa.Array:
     """For SQL only: Spark has an ST_SRID of its own that a SQL function cannot replace."""
     def one(v):
@@ -201,22 +206,22 @@ def _srid(geom: pa.Array) -> pa.Array:
     return pa.array([one(v) for v in geom.to_pylist()], pa.int32())
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def _intersects(a: pa.Array, b: pa.Array) -> pa.Array:
     return _relate("intersects", a, b)
 
 
-@F.arrow_udf("boolean")
+@F.arrow_udf(T.BooleanType())
 def _within(a: pa.Array, b: pa.Array) -> pa.Array:
     return _relate("within", a, b)
 
 
-@F.arrow_udf("double")
+@F.arrow_udf(T.DoubleType())
 def _distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return _relate("distance", a, b)
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _difference(a: pa.Array, b: pa.Array) -> pa.Array:
     def one(x, y):
         left, right = codec.parse(x), codec.parse(y)
@@ -224,7 +229,7 @@ def _difference(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.binary())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _union(a: pa.Array, b: pa.Array) -> pa.Array:
     def one(x, y):
         left, right = codec.parse(x), codec.parse(y)
@@ -232,7 +237,7 @@ def _union(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array([one(x, y) for x, y in zip(a.to_pylist(), b.to_pylist())], pa.binary())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _buffer(geom: pa.Array, distance: pa.Array) -> pa.Array:
     def one(v, d):
         parsed = codec.parse(v)
@@ -240,7 +245,7 @@ def _buffer(geom: pa.Array, distance: pa.Array) -> pa.Array:
     return pa.array([one(v, d) for v, d in zip(geom.to_pylist(), distance.to_pylist())], pa.binary())
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _transform(geom: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
     def move(parsed, s, t):
         code, body = parsed
@@ -262,7 +267,7 @@ def _transform(geom: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-@F.arrow_udf(f"array<{PART}>")
+@F.arrow_udf(T.ArrayType(PART))
 def _parts(geom: pa.Array) -> pa.Array:
     """Rings of all drawable parts; NULL for NULL and undecodable geometries."""
     b = codec.decode(geom)

@@ -15,6 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..errors import BadRequest
 from ..functions import codec, overlay
@@ -33,7 +34,7 @@ def dissolve_points(df: DataFrame, keys: list[str]) -> DataFrame:
     return grouped.withColumn("geometry", _multipoint(F.col("points.x"), F.col("points.y"))).drop("points")
 
 
-@F.arrow_udf("binary")
+@F.arrow_udf(T.BinaryType())
 def _multipoint(xs: pa.Array, ys: pa.Array) -> pa.Array:
     rows = zip(xs.to_pylist(), ys.to_pylist())
     return pa.array([codec.encode((codec.MULTIPOINT, [(codec.POINT, p) for p in zip(x, y)])) for x, y in rows],

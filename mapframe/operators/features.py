@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..errors import BadRequest
 from ..functions import spatial
 from ..functions.spatial import BBOX
+from ..session import quoted_identifiers
 from .profile import FID, INTERNAL
 
 # Limits of one request.
@@ -77,7 +78,10 @@ def project(df: DataFrame, geom: str = "geometry", keep_fid: bool = False) -> Da
 
 def where_text(df: DataFrame, condition: str | None) -> DataFrame:
     """Filter by a SQL condition; blank text keeps everything."""
-    return df.where(condition) if condition and condition.strip() else df
+    if not condition or not condition.strip():
+        return df
+    with quoted_identifiers(df.sparkSession):
+        return df.where(condition)
 
 
 def _attribute(name: str) -> str:

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..errors import BadRequest
 from ..functions import spatial
-from ..session import prepare
+from ..session import prepare, quoted_identifiers
 
 # Rows shown by default and at most.
 PREVIEW_ROWS, PREVIEW_MAX = 200, 500
@@ -31,7 +31,8 @@ def query(spark: SparkSession, sql: str) -> DataFrame:
     prepare(spark)
     text = sql.strip().rstrip(";").rstrip()
     try:
-        return spark.sql(f"SELECT * FROM (\n{text}\n) AS _q")
+        with quoted_identifiers(spark):
+            return spark.sql(f"SELECT * FROM (\n{text}\n) AS _q")
     except (ParseException, AnalysisException) as e:
         raise BadRequest(f"SQL error: {e}") from e
 
