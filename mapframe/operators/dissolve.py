@@ -58,10 +58,11 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
         out["geometry"] = codec.encode(merged)
         return out
 
-    size = _typical_size(boxed)
+    west, south, size = _grid(boxed)
     while True:
-        cell = [F.floor((F.col(low) + F.col(high)) / 2 / size).alias(name)
-                for low, high, name in ((BBOX[0], BBOX[2], "_cx"), (BBOX[1], BBOX[3], "_cy"))]
+        # counted from the lower corner, so that growing cells end as one cell
+        cell = [F.floor(((F.col(low) + F.col(high)) / 2 - start) / size).alias(name)
+                for low, high, start, name in ((BBOX[0], BBOX[2], west, "_cx"), (BBOX[1], BBOX[3], south, "_cy"))]
         placed = with_bounds(current, "geometry").select(*keys, "geometry", *cell)
         cells = [*keys, "_cx", "_cy"]
         crowd = placed.groupBy(*[F.col(c).alias(f"_crowd_{c}") for c in cells]).agg(
@@ -78,6 +79,8 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
         size *= 8
 
 
-def _typical_size(boxed: DataFrame) -> float:
+def _grid(boxed: DataFrame) -> tuple[float, float, float]:
+    """Lower corner of all features and a first cell size of four times their average width."""
     width = F.greatest(F.col(BBOX[2]) - F.col(BBOX[0]), F.col(BBOX[3]) - F.col(BBOX[1]))
-    return 4 * (boxed.agg(F.avg(width)).head()[0] or 1.0) or 1.0
+    row = boxed.agg(F.min(BBOX[0]), F.min(BBOX[1]), F.avg(width)).head()
+    return row[0] or 0.0, row[1] or 0.0, 4 * (row[2] or 1.0)

@@ -793,22 +793,27 @@ def _mercator_sql(source):
 
 def _clusters_sql(source, zoom, digits=8):
     return f"""SELECT {zoom} AS zoom, CAST(floor(mx * (512 * 2.0 ** {zoom} / 60)) AS BIGINT) AS cx, CAST(floor(my * (512 * 2.0 ** {zoom} / 60)) AS BIGINT) AS cy,
-count(*) AS point_count, round(avg(mx), {digits}) AS mx, round(avg(my), {digits}) AS my FROM ({_mercator_sql(source)}) GROUP BY ALL"""
+count(*) AS point_count, round(avg(mx) + 1.3e-9::DOUBLE, {digits}) AS mx, round(avg(my) + 1.3e-9::DOUBLE, {digits}) AS my FROM ({_mercator_sql(source)}) GROUP BY ALL"""
+
+
+def _centres():
+    """Rounded off the middle between two digits, where the order of a sum would show."""
+    return [r(F.col(c) + 1.3e-9, 8).alias(c) for c in ("mx", "my")]
 
 
 @query(_clusters_sql(CUSTOMERS, 4))
 def cluster_points(spark, sf_dir):
     found = cluster.cluster_points(customers(spark, sf_dir), [4])
-    return found.select("zoom", "cx", "cy", "point_count", r(F.col("mx"), 8).alias("mx"), r(F.col("my"), 8).alias("my"))
+    return found.select("zoom", "cx", "cy", "point_count", *_centres())
 
 
 @query(" UNION ALL ".join(_clusters_sql(EVENTS, z) for z in (0, 1, 2, 3, 4, 5)))
 def cluster_points_zooms(spark, sf_dir):
     found = cluster.cluster_points(events(spark, sf_dir), range(6))
-    return found.select("zoom", "cx", "cy", "point_count", r(F.col("mx"), 8).alias("mx"), r(F.col("my"), 8).alias("my"))
+    return found.select("zoom", "cx", "cy", "point_count", *_centres())
 
 
-@query(f"""WITH c AS ({_clusters_sql(EVENTS, 3, 15)}), l AS (SELECT *, (mx - 0.5) * 360 AS lon, atan(exp((1 - my * 2) * pi())) * (360 / pi()) - 90 AS lat FROM c)
+@query(f"""WITH c AS ({_clusters_sql(EVENTS, 3, 15).replace(' + 1.3e-9::DOUBLE', '')}), l AS (SELECT *, (mx - 0.5) * 360 AS lon, atan(exp((1 - my * 2) * pi())) * (360 / pi()) - 90 AS lat FROM c)
 SELECT point_count, round(lon, 7) AS lon, round(lat, 7) AS lat,
 round(CASE WHEN point_count > 1 THEN least(40, greatest(10, log10(point_count + 1) * 10)) ELSE 5 END, 6) AS circle_radius,
 CASE WHEN point_count > 1 THEN CASE WHEN point_count < 10 THEN 255 WHEN point_count < 100 THEN 254 ELSE 240 END ELSE 51 END AS red,
