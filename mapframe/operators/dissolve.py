@@ -49,7 +49,7 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
     boxed = df if all(c in df.columns for c in BBOX) else with_bounds(df, geom)
     current = (boxed.where(F.col(BBOX[0]).isNotNull())
                .select(*keys, F.col(f"`{geom}`").alias("geometry")).distinct())
-    groups = df.select(*keys).distinct().count()
+    groups = current.select(*keys).distinct().count()
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", geometry binary"
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
