@@ -242,7 +242,7 @@ def _buffer(geom: pa.Array, distance: pa.Array) -> pa.Array:
     def one(v, d):
         parsed = codec.parse(v)
         return None if parsed is None or d is None else codec.encode(overlay.buffer(parsed, d))
-    return pa.array([one(v, d) for v, d in zip(geom.to_pylist(), distance.to_pylist())], pa.binary())
+    return pa.array([one(v, d) for v, d in zip(geom.to_pylist(), distance.cast(pa.float64()).to_pylist())], pa.binary())
 
 
 @F.arrow_udf(T.BinaryType())

@@ -126,6 +126,7 @@ def test_limits():
     assert sqltext.clamp(0) == 1 and sqltext.clamp(9999) == 500
 
 
-def test_pushdown(catalog):
+def test_pushdown(catalog, spark):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = catalog.features(catalog.five.id, bbox="0,0,1,1").features._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(_bbox_xmax,0.0)" in plan
