@@ -100,12 +100,23 @@ def _relate(op, left, right) -> pa.Array:
             shapes[key] = predicates.Shape.of(array[int(row)].as_py())
         return shapes[key]
 
+    rest = ~null & ~points & ((a.kind != POINT) | (op != "distance") | (b.kind != POINT))
+    if op == "intersects" and points.sum() < 8 * len(np.unique(codes_b[points])):
+        rest, points = rest | points, points & False  # hardly a geometry occurs twice
     rows = np.flatnonzero(points)
     order = rows[np.argsort(codes_b[rows], kind="stable")]
     for group in np.split(order, np.flatnonzero(np.diff(codes_b[order])) + 1) if len(order) else []:
         result[group] = _points_against(op, px[group], py[group], shape(right, codes_b, group[0]))
 
-    rest = np.flatnonzero(~null & ~points & ((a.kind != POINT) | (op != "distance") | (b.kind != POINT)))
+    if op != "distance":
+        box_a, box_b = measures.bounds(a), measures.bounds(b)
+        rest &= _boxes_allow(op, box_a, box_b)
+    rest = np.flatnonzero(rest)
+    if op == "intersects":
+        sizes = [np.bincount(v.geom, weights=v.size, minlength=n) for v in (a, b)]
+        small = sizes[0][rest] * sizes[1][rest] < predicates._BLOCK
+        result |= predicates.intersects_batch(a, b, rest[small])
+        rest = rest[~small]  # large pairs one by one, in blocks of their own
     if len(rest):
         codes_a = _codes(left)
         fn = getattr(predicates, op)
@@ -120,6 +131,13 @@ def _relate(op, left, right) -> pa.Array:
     return _nullable(result, null)
 
 
+def _boxes_allow(op, a, b):
+    """Rows whose boxes leave the relation possible; False for empty geometries."""
+    if op == "within":
+        return (a[0] >= b[0]) & (a[1] >= b[1]) & (a[2] <= b[2]) & (a[3] <= b[3])
+    return (a[0] <= b[2]) & (b[0] <= a[2]) & (a[1] <= b[3]) & (b[1] <= a[3])
+
+
 def _codes(array) -> np.ndarray:
     if isinstance(array, pa.ChunkedArray):
         array = array.combine_chunks()

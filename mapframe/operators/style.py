@@ -50,8 +50,10 @@ def classify_graduated(df: DataFrame, column: str, colors: list[str], opacity: f
     limits = df.agg(F.min(v).alias("low"), F.max(v).alias("high"))
     low, high = limits.select("low").scalar(), limits.select("high").scalar()
     span = F.when(high - low == 0, F.lit(1.0)).otherwise(high - low)
-    color = ramp_color((v - low) / span, colors, alpha)
-    return df.withColumn(out, F.when(v.isNull(), rgba((*GREY, alpha))).otherwise(color))
+    # a column of its own, because the ramp refers to the position many times
+    placed = df.withColumn("_t", (v - low) / span)
+    color = ramp_color(F.col("_t"), colors, alpha)
+    return placed.withColumn(out, F.when(v.isNull(), rgba((*GREY, alpha))).otherwise(color)).drop("_t")
 
 
 def category_order(df: DataFrame, column: str, key: str = FID) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from mapframe.functions import codec, measures, overlay
-from mapframe.functions.predicates import Shape, distance, intersects, within
+from mapframe.functions.predicates import Shape, distance, intersects, intersects_batch, within
 
 A = (codec.POLYGON, [np.array([(0, 0), (4, 0), (4, 4), (0, 4), (0, 0)], float)])
 B = (codec.POLYGON, [np.array([(2, 2), (6, 2), (6, 6), (2, 6), (2, 2)], float)])
@@ -101,7 +101,7 @@ def random_polygon(rng):
 
 def test_against_jts(spark):
     rng = np.random.default_rng(7)
-    checked = 0
+    checked, pairs = 0, []
     while checked < 150:
         g, h = random_polygon(rng), random_polygon(rng)
         jg, jh = jts_geometry(spark, g), jts_geometry(spark, h)
@@ -109,6 +109,7 @@ def test_against_jts(spark):
             continue
         checked += 1
         sg, sh = Shape(g), Shape(h)
+        pairs.append((g, h, jg.intersects(jh)))
         assert intersects(sg, sh) == jg.intersects(jh), (codec.to_wkt(g), codec.to_wkt(h))
         assert within(sg, sh) == jg.within(jh), (codec.to_wkt(g), codec.to_wkt(h))
         assert distance(sg, sh) == pytest.approx(jg.distance(jh), abs=1e-9)
@@ -120,3 +121,9 @@ def test_against_jts(spark):
         assert within(Shape(line), sg) == jl.within(jg), (codec.to_wkt(line), codec.to_wkt(g))
         p = (codec.POINT, tuple(h[1][0][0].tolist()))
         assert within(Shape(p), sg) == jts_geometry(spark, p).within(jg)
+        pairs += [(line, g, jl.intersects(jg)), (g, p, jg.intersects(jts_geometry(spark, p)))]
+    pairs += [(A, (codec.POLYGON, [0.1 * A[1][0] + 1]), True), (HOLED, (codec.POLYGON, [0.1 * A[1][0] + 1.2]), False),
+              ((codec.MULTIPOLYGON, [A, (codec.POLYGON, [A[1][0] + 10])]), (codec.POINT, (11.0, 12.0)), True)]
+    left, right = (codec.decode(pa.array([codec.encode(pair[k]) for pair in pairs])) for k in (0, 1))
+    got = intersects_batch(left, right, np.arange(len(pairs)))
+    assert got.tolist() == [bool(pair[2]) for pair in pairs]
