@@ -25,6 +25,12 @@ PART = T.StructType([
     T.StructField("type", T.StringType()), T.StructField("xs", T.ArrayType(T.DoubleType())),
     T.StructField("ys", T.ArrayType(T.DoubleType()))])
 
+RING_LIST = T.ArrayType(T.StructType([
+    T.StructField("ring", T.IntegerType()), T.StructField("xs", T.ArrayType(T.DoubleType())),
+    T.StructField("ys", T.ArrayType(T.DoubleType()))]))
+NESTED_PART = T.StructType([
+    T.StructField("part", T.IntegerType()), T.StructField("type", T.StringType()), T.StructField("rings", RING_LIST)])
+
 
 # --- helpers inside tasks -------------------------------------------------
 
@@ -285,23 +291,43 @@ def _transform(geom: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def _drawable(b):
+    """Kept rings, their coordinate lists, and type names by ring code."""
+    keep = np.flatnonzero(measures.drawable_rings(b))
+    pick = codec.spans(b.start[:-1][keep], b.size[keep])
+    offsets = pa.array(np.concatenate([[0], np.cumsum(b.size[keep])]), pa.int32())
+    xs, ys = (pa.ListArray.from_arrays(offsets, pa.array(v[pick])) for v in (b.x, b.y))
+    return keep, xs, ys, np.array([None, "Point", "LineString", "Polygon"])
+
+
+def _lists(owner, n, values, mask=None):
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=mask)
+
+
 @F.arrow_udf(T.ArrayType(PART))
 def _parts(geom: pa.Array) -> pa.Array:
     """Rings of all drawable parts; NULL for NULL and undecodable geometries."""
     b = codec.decode(geom)
-    keep = np.flatnonzero(measures.drawable_rings(b))
-    pick = codec.spans(b.start[:-1][keep], b.size[keep])
-    offsets = pa.array(np.concatenate([[0], np.cumsum(b.size[keep])]), pa.int32())
-    names = np.array([None, "Point", "LineString", "Polygon"])
+    keep, xs, ys, names = _drawable(b)
     rings = pa.StructArray.from_arrays(
         [pa.array(b.part[keep], pa.int32()), pa.array(b.ring[keep], pa.int32()),
-         pa.array(names[b.code[keep]], pa.string()),
-         pa.ListArray.from_arrays(offsets, pa.array(b.x[pick])),
-         pa.ListArray.from_arrays(offsets, pa.array(b.y[pick]))],
-        names=["part", "ring", "type", "xs", "ys"])
-    count = np.bincount(b.geom[keep], minlength=b.n)
-    ends = np.concatenate([[0], np.cumsum(count)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rings, mask=pa.array(b.kind == 0))
+         pa.array(names[b.code[keep]], pa.string()), xs, ys], names=["part", "ring", "type", "xs", "ys"])
+    return _lists(b.geom[keep], b.n, rings, pa.array(b.kind == 0))
+
+
+@F.arrow_udf(T.ArrayType(NESTED_PART))
+def _nested_parts(geom: pa.Array) -> pa.Array:
+    """Drawable parts with their rings inside."""
+    b = codec.decode(geom)
+    keep, xs, ys, names = _drawable(b)
+    rings = pa.StructArray.from_arrays([pa.array(b.ring[keep], pa.int32()), xs, ys], names=["ring", "xs", "ys"])
+    first = np.flatnonzero(b.ring[keep] == 0)
+    of_ring = np.cumsum(b.ring[keep] == 0) - 1
+    owned = pa.StructArray.from_arrays(
+        [pa.array(b.part[keep][first], pa.int32()), pa.array(names[b.code[keep][first]], pa.string()),
+         _lists(of_ring, len(first), rings)], names=["part", "type", "rings"])
+    return _lists(b.geom[keep][first], b.n, owned, pa.array(b.kind == 0))
 
 
 # --- columns --------------------------------------------------------------
@@ -390,6 +416,10 @@ def parts(geom):
     return _parts(_column(geom))
 
 
+def nested_parts(geom):
+    return _nested_parts(_column(geom))
+
+
 def _uint32(geom, at) -> Column:
     """Unsigned integer at a byte position, in the byte order of the value."""
     g = _column(geom)

@@ -27,10 +27,6 @@ def explode_parts(df: DataFrame, geom: str = "geometry") -> DataFrame:
     A multi geometry gives a row per member with the attributes of its feature.
     """
     names = [c for c in df.columns if c != geom and c not in BBOX]
-    listed = df.select(*names, spatial.parts(f"`{geom}`").alias("_rings"))
-    numbered = listed.select("*", F.explode(F.array_distinct(
-        F.transform("_rings", lambda r: F.struct(r["part"], r["type"])))).alias("_part"))
-    mine = F.transform(F.filter("_rings", lambda r: r["part"] == F.col("_part.part")),
-                       lambda r: F.struct(r["ring"].alias("ring"), r["xs"].alias("xs"), r["ys"].alias("ys")))
-    return numbered.select(*names, F.col("_part.part").alias("part"), F.col("_part.type").alias("part_type"),
-                           mine.alias("rings"))
+    listed = df.select(*names, F.explode(spatial.nested_parts(f"`{geom}`")).alias("_p"))
+    return listed.select(*names, F.col("_p.part").alias("part"), F.col("_p.type").alias("part_type"),
+                         F.col("_p.rings").alias("rings"))

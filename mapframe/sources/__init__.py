@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import os.path
 import re
 
-import json
-
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 
@@ -77,8 +76,8 @@ def read_with_srid(spark: SparkSession, path: str, root: str | None = None, **op
 
 def read_geoparquet(spark: SparkSession, path: str):
     df = spark.read.parquet(path)
-    files = df.inputFiles()
-    meta = _geo_metadata(files[0]) if files else None
+    first = df.select("_metadata.file_path").head()  # any one file; a listing would grow with the table
+    meta = _geo_metadata(first[0]) if first else None
     if not meta:
         return df, None
     crs = meta.get("columns", {}).get(meta.get("primary_column"), {}).get("crs", "OGC:CRS84")
