@@ -90,8 +90,7 @@ def points(df: DataFrame, x, y, geom: str = "geometry", srid: int = 4326) -> Dat
     x, y = x.cast("double"), y.cast("double")
     if srid != 4326:
         x, y = crs.transform_xy(x, y, srid, 4326)
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)  # half a pair is no point
     boxed = df.withColumns({BBOX[0]: x, BBOX[1]: y})
     return boxed.withColumns({BBOX[2]: F.col(BBOX[0]), BBOX[3]: F.col(BBOX[1]),
                               geom: spatial.st_point(BBOX[0], BBOX[1])})

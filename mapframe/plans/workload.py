@@ -851,3 +851,14 @@ def field_kinds(spark, sf_dir):
     c = d.table(spark, sf_dir, "customer")
     kinds = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(profile.field_kind(f)).alias("kind")) for f in c.schema])
     return c.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.inline(kinds))
+
+
+@query("""WITH c AS (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS v FROM part) SELECT p_partkey,
+CASE WHEN p_partkey % 10 = 0 THEN 100 ELSE CAST(v // 65536 AS INT) END AS r, CASE WHEN p_partkey % 10 = 0 THEN 100 ELSE CAST(v // 256 % 256 AS INT) END AS g,
+CASE WHEN p_partkey % 10 = 0 THEN 100 ELSE CAST(v % 256 AS INT) END AS b, 128 AS a FROM c""")
+def hex_colors(spark, sf_dir):
+    """Six hex digits after an optional #; other texts are grey."""
+    k = F.col("p_partkey")
+    digits = F.lower(F.lpad(F.hex((k * 7919) % 16777216), 6, "0"))
+    text = F.when(k % 10 == 0, F.lit("#12")).when(k % 2 == 0, F.concat(F.lit("#"), digits)).otherwise(digits)
+    return _channels(d.table(spark, sf_dir, "part").withColumn("fill", color.hex_to_rgba(text, 128)), "p_partkey")
