@@ -47,3 +47,10 @@ def tasks_for(df: DataFrame) -> int:
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
+
+
+def only(df: DataFrame, ids: DataFrame, rows: int = 4 << 20) -> DataFrame:
+    """Rows of ``df`` whose doc_id is in ``ids``: sent to every task while they are counted and few, else by a shuffle."""
+    ids = ids.select(F.col("doc_id").alias("_wanted")).distinct()
+    few = ids.limit(rows + 1).count() <= rows
+    return df.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_wanted"), "left_semi")

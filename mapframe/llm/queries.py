@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact
+from . import bpe, exact, jaccard
 from .common import table
 
 QUERIES: dict = {}
@@ -32,6 +32,12 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.tokenized(table(spark, sf_dir, "documents"), *public_vocabulary()))
 
 
+@query()
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of similar documents."""
+    return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
