@@ -308,9 +308,9 @@ def tokenized(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     return encoded.select("doc_id", "ids", decode(F.col("ids"), ranks, pattern).alias("decoded"))
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a tokenized table."""
+def digests(tokens: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of a tokenized table, and more of its columns."""
     return tokens.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"), *more)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, jaccard
+from . import bpe, decontam, exact, jaccard, quality
 from .common import table
 
 QUERIES: dict = {}
@@ -38,6 +38,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similarity_classes(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op3_quality_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its log importance and whether it is sampled."""
+    return quality.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query(r"""
 WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS len,
                   regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents)
@@ -47,3 +53,9 @@ FROM d WINDOW w AS (PARTITION BY norm ORDER BY len DESC, doc_id)""")
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the copy of it that stays."""
     return exact.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a test item that it gives away."""
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
