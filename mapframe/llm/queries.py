@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact, jaccard, quality
+from . import bpe, decontam, exact, jaccard, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict = {}
@@ -59,3 +59,21 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a test item that it gives away."""
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page with the rule that fits its URL, or what the trees say."""
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its secrets."""
+    return secrets.summary(secrets.secret_spans(table(spark, sf_dir, "documents")))
+
+
+@query()
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its toxicity."""
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
