@@ -139,6 +139,9 @@ def summary(found: DataFrame) -> DataFrame:
     def told(spans):
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in KINDS[:3]]
     base = F.filter("spans", lambda s: s["kind"].isin(*KINDS[:3]))
     return found.select("doc_id", *counts, F.sha2(told(base), 256).alias("base_sha256"), told("spans").alias("spans"))

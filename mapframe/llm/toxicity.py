@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import crc_part, whole
+from .common import crc_part, whole, written
 
 SAMPLE = 20_000  # labelled rows that the model is fit on, at most
-SHARDS = 8
+SHARD = 5_000  # rows that are learned in one task, about
 EPOCHS = 4
-ALPHA, BETA, L1, L2 = 0.3, 1.0, 3.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
 HELD_OUT = (4, 2)  # crc32 of the id modulo 4 is 2: never learned from
 THRESHOLD = 0.3
 _U = np.uint64
@@ -70,8 +70,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     sample = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (crc_part("doc_id", parts) != out))
               .groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumnRenamed("doc_id", "_id"))
+    sample = written(sample)
+    shards = max(1, round(sample.count() / SHARD))
     rows = (whole(docs).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-            .select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(SHARDS)).alias("shard"), "doc_id", "text", "toxic"))
+            .select(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(shards)).alias("shard"), "doc_id", "text", "toxic"))
 
     def shard(found: pa.Table) -> pa.Table:
         found = found.sort_by("doc_id").combine_chunks()
@@ -84,8 +86,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return pa.table({"hash": hashes.view(np.int64), "weight": weights})
 
     learned = rows.groupBy("shard").applyInArrow(shard, "hash long, weight double").groupBy("hash").agg(
-        F.sum("weight").alias("w"), F.count("*").alias("shards")).collect()
-    shards = max([r.shards for r in learned if r.hash == 0], default=1)
+        F.sum("weight").alias("w")).collect()
     found = sorted((r.hash % (1 << 64), r.w / shards) for r in learned)
     return np.array([h for h, _ in found], _U), np.array([w for _, w in found], float)
 
