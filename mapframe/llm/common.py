@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 
 from pyspark import cloudpickle
@@ -49,8 +50,28 @@ def tasks_for(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
 
 
-def only(df: DataFrame, ids: DataFrame, rows: int = 4 << 20) -> DataFrame:
-    """Rows of ``df`` whose doc_id is in ``ids``: sent to every task while they are counted and few, else by a shuffle."""
+
+FEW = 4 << 20  # rows of one or two numbers that are sent to every task, at most; larger tables are shuffled
+
+
+def small(rows: DataFrame) -> DataFrame:
+    """Marks a narrow table for broadcasting if it is counted and found small; else leaves it to a shuffle."""
+    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+
+
+def only(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose doc_id is in ``ids``."""
     ids = ids.select(F.col("doc_id").alias("_wanted")).distinct()
-    few = ids.limit(rows + 1).count() <= rows
-    return df.join(F.broadcast(ids) if few else ids, F.col("doc_id") == F.col("_wanted"), "left_semi")
+    return df.join(small(ids), F.col("doc_id") == F.col("_wanted"), "left_semi")
+
+
+def without(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose doc_id is not in ``ids``."""
+    ids = ids.select(F.col("doc_id").alias("_unwanted")).distinct()
+    return df.join(small(ids), df["doc_id"] == F.col("_unwanted"), "left_anti")
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files of tables that are written by now; it does so for plans that the JVM has collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -1,7 +1,7 @@
 """Exact Jaccard similarity join of word shingle sets with PartEnum signatures.
 
 Sets of similar size share a *frame*: sizes from 2^j up to 2^(j+1), with those of the next frame that can still be
-similar to one of them as guests. A frame splits the domain of shingle hashes into about 0.9 * 2^j partitions. Two sets
+similar to one of them as guests. A frame splits the domain of shingle hashes into about 0.8 * 2^j partitions. Two sets
 that are similar enough differ in at most k shingles, so at most k partitions of either differ; each set with more than
 k partitions in use therefore shares the whole content of one with every similar set. The content of each partition in
 use is one signature. Sets that use k partitions or fewer also enumerate the finest partitions, single shingles, of
@@ -28,16 +28,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import only, tasks_for, whole, written
+from .common import only, release, small, tasks_for, whole, without, written
 from .components import components
 
 WORDS = 5
 HOT = 32
-SAME = 63  # frame number of the signature that stands for a whole set
+FINEST = 32  # added to the number of a frame in the signatures of single shingles
 _U = np.uint64
-PROFILE = "doc_id long, n long, fp binary, sketch binary"
-SIGNATURES = "key long, doc_id long, sig long, pivot long, used int, most int"
-MEMBERS = "sig long, doc_id long, pivot long, used int, most int"
+PROFILE = "doc_id long, n long, fp binary, sketch binary, used int, used_below int"
+SIGNATURES = "key long, doc_id long, local struct<sig:long,pivot:long>"
+MEMBERS = "sig long, doc_id long, pivot long"
 
 
 def shingle_sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
@@ -56,32 +56,50 @@ def fingerprint(shingles: np.ndarray) -> bytes:
     return np.array([shingles.sum(), np.bitwise_xor.reduce(textkit.mix(shingles + _U(1)))], _U).tobytes()
 
 
+def frames_of(n: int) -> list[tuple[int, int]]:
+    """(frame, largest number of shingles that a similar set of the frame differs in) of sets of n shingles."""
+    home = n.bit_length() - 1
+    top = (1 << home) - 1  # the largest size of the frame below
+    below = [(home - 1, (n + top) // 7)] if home and 3 * n <= 4 * top else []
+    return [(home, (n + 4 * n // 3) // 7), *below]
+
+
+def partitions(shingles: np.ndarray, frame: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each partition in use begins in the sorted set, and its number."""
+    index = ((shingles >> _U(32)) * _U(max(1, (4 << frame) // 5))) >> _U(32)
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1])
+    return starts, index[starts]
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """Size, fingerprint and class counts (at most 255 each) of every row's shingle set."""
+    """Size, fingerprint, class counts (at most 255 each) and partitions in use of every row's shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, prints, sketches = [], [], []
+            sizes, prints, sketches, used = [], [], [], []
             for _, shingles in shingle_sets(batch):
                 sizes.append(len(shingles))
                 prints.append(fingerprint(shingles))
                 counts = np.bincount((shingles & _U(255)).astype(np.intp), minlength=256)
                 sketches.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+                frames = frames_of(len(shingles)) if len(shingles) else []
+                used.append([len(partitions(shingles, f)[0]) for f, _ in frames] + [None] * (2 - len(frames)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()),
-                 pa.array(sketches, pa.binary())], ["doc_id", "n", "fp", "sketch"])
+                 pa.array(sketches, pa.binary()), *(pa.array([u[i] for u in used], pa.int32()) for i in (0, 1))],
+                ["doc_id", "n", "fp", "sketch", "used", "used_below"])
 
     return whole(docs).mapInArrow(run, PROFILE)
 
 
-def enumerate_partitions(shingles: np.ndarray, frame: int, most: int) -> list[tuple[np.ndarray, int]]:
-    """Signatures of a set in a frame, with the number of partitions in use: by partitions, then by single shingles."""
-    parts = max(1, int(0.9 * (1 << frame)))
-    index = ((shingles >> _U(32)) * _U(parts)) >> _U(32)
-    starts = np.concatenate([[0], np.flatnonzero(np.diff(index)) + 1])
-    content = np.add.reduceat(shingles, starts)
-    out = [(_label(textkit.mix(content + index[starts] * _U(0x9E3779B97F4A7C15)), frame), len(starts))]
-    if len(starts) <= most:
-        out.append((_label(textkit.mix(shingles ^ _U(0xD6E8FEB86659FD93)), 32 + frame % 31), len(shingles)))
+def signatures_of(shingles: np.ndarray) -> list[np.ndarray]:
+    """Signatures of a set in all its frames: of partitions in use, and of single shingles if those are too few."""
+    out = []
+    for frame, most in frames_of(len(shingles)):
+        starts, index = partitions(shingles, frame)
+        content = np.add.reduceat(shingles, starts)
+        out.append(_label(textkit.mix(content + index * _U(0x9E3779B97F4A7C15)), frame))
+        if len(starts) <= most:
+            out.append(_label(textkit.mix(shingles ^ _U(0xD6E8FEB86659FD93)), FINEST + frame))
     return out
 
 
@@ -89,56 +107,32 @@ def _label(hashes: np.ndarray, frame: int) -> np.ndarray:
     return (hashes & ~_U(63)) | _U(frame)
 
 
-def signatures_of(shingles: np.ndarray) -> list[tuple[np.ndarray, int, int]]:
-    """(signatures, partitions in use, largest number of differing shingles) in every frame of a set."""
-    n = len(shingles)
-    home = n.bit_length() - 1
-    most = (n + 4 * n // 3) // 7
-    found = [(*s, most) for s in enumerate_partitions(shingles, home, most)]
-    top = (1 << home) - 1  # the largest size of the frame below
-    if home and 3 * n <= 4 * top:
-        most = (n + top) // 7
-        found += [(*s, most) for s in enumerate_partitions(shingles, home - 1, most)]
-    return found
-
-
 def signatures(docs: DataFrame) -> DataFrame:
-    """Signatures of all sets. A signature that a batch holds more than HOT / 4 times leaves it once; the other members
-    are rows with their pivot in the batch and a key of their own."""
+    """Signatures of all sets. If a batch holds one more than HOT / 4 times, its first row goes on alone; all its rows are
+    members already, with their pivot in the batch and a key of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
-            sigs, rows, used, most, seen = [], [], [], [], set()
+            sigs, rows = [], []
             for row, shingles in shingle_sets(batch):
-                if not len(shingles):
-                    continue
-                fp = fingerprint(shingles)
-                whole_sig = textkit.mix(np.frombuffer(fp, _U)[:1] ^ np.frombuffer(fp, _U)[1:])
-                found = [(_label(whole_sig, SAME), 1, 0)] + ([] if fp in seen else signatures_of(shingles))
-                seen.add(fp)
-                for sig, in_use, differ in found:
+                for sig in signatures_of(shingles) if len(shingles) else []:
                     sigs.append(sig)
                     rows.append(np.full(len(sig), row, np.int32))
-                    used.append(np.full(len(sig), in_use, np.int32))
-                    most.append(np.full(len(sig), differ, np.int32))
             if not sigs:
                 continue
-            sig, row = np.concatenate(sigs).view(np.int64), np.concatenate(rows)
-            used, most = np.concatenate(used), np.concatenate(most)
-            order = np.lexsort((ids[row], sig))
-            sig, doc, used, most = sig[order], ids[row][order], used[order], most[order]
+            sig, doc = np.concatenate(sigs).view(np.int64), ids[np.concatenate(rows)]
+            order = np.lexsort((doc, sig))
+            sig, doc = sig[order], doc[order]
             starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
             counts = np.diff(starts, append=len(sig))
             many = np.repeat(counts > HOT // 4, counts)
             pivot = np.repeat(doc[starts], counts)
-            again = starts[counts > HOT // 4]  # first members stay in the bucket and head their batch's rows
-            order = np.concatenate([np.arange(len(sig)), again])
-            sig, doc, used, most, pivot, many = (x[order] for x in (sig, doc, used, most, pivot, many))
-            many[again] = False
+            order = np.concatenate([np.arange(len(sig)), starts[counts > HOT // 4]])
+            sig, doc, pivot, many = (x[order] for x in (sig, doc, pivot, many))
+            many[len(many) - int((counts > HOT // 4).sum()):] = False
             key = np.where(many, textkit.mix(sig.view(_U) + doc.astype(_U)).view(np.int64), sig)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key), pa.array(doc), pa.array(sig, mask=~many), pa.array(pivot, mask=~many),
-                 pa.array(used), pa.array(most)], ["key", "doc_id", "sig", "pivot", "used", "most"])
+            local = pa.StructArray.from_arrays([pa.array(sig), pa.array(pivot)], ["sig", "pivot"], mask=pa.array(~many))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), local], ["key", "doc_id", "local"])
 
     return whole(docs).where("doc_id IS NOT NULL").mapInArrow(run, SIGNATURES)
 
@@ -150,17 +144,14 @@ def buckets(found: DataFrame, tasks: int) -> DataFrame:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # signature, its first member, that member's row if it isn't told yet
-        names = ["sig", "doc_id", "pivot", "used", "most"]
         for batch in batches:
-            key, doc, sig, pivot, used, most = (batch.column(i) for i in range(6))
-            inner = np.asarray(sig.is_valid())
-            key, doc = key.to_numpy(), doc.to_numpy()
-            used, most = used.to_numpy(), most.to_numpy()
-            at = np.flatnonzero(~inner)
-            parts = [(sig.fill_null(0).to_numpy()[inner], doc[inner], pivot.fill_null(0).to_numpy()[inner],
-                      used[inner], most[inner])]
-            if len(at):
-                k, d, u, m = key[at], doc[at], used[at], most[at]
+            local = batch.column("local")
+            inner = np.asarray(local.is_valid())
+            key, doc = batch.column("key").to_numpy(), batch.column("doc_id").to_numpy()
+            sig, pivot = (local.field(i).fill_null(0).to_numpy() for i in (0, 1))
+            parts = [(sig[inner], doc[inner], pivot[inner])]
+            if not inner.all():
+                k, d = key[~inner], doc[~inner]
                 starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
                 counts = np.diff(starts, append=len(k))
                 first, shared = np.repeat(d[starts], counts), np.repeat(counts > 1, counts)
@@ -168,18 +159,17 @@ def buckets(found: DataFrame, tasks: int) -> DataFrame:
                     first[:counts[0]], shared[:counts[0]] = last[1], True
                     if last[2] is not None:
                         parts.append(tuple(np.array([v]) for v in last[2]))
-                last = (k[-1], first[-1], None if shared[-1] else (k[-1], d[-1], d[-1], u[-1], m[-1]))
-                parts.append((k[shared], d[shared], first[shared], u[shared], m[shared]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c).astype(t)) for c, t in zip(zip(*parts), [np.int64] * 3 + [np.int32] * 2)],
-                names)
+                last = (k[-1], first[-1], None if shared[-1] else (k[-1], d[-1], d[-1]))
+                parts.append((k[shared], d[shared], first[shared]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)],
+                                             ["sig", "doc_id", "pivot"])
 
     return found.repartition(tasks, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, MEMBERS)
 
 
 def close_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes and class counts do not rule out; ``same`` if both sets are equal."""
-    one, other = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "fp", "sketch")])
+    """Pairs (a, b) that sizes and class counts do not rule out."""
+    one, other = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "sketch")])
                   for side in "ab")
     rows = (pairs.join(one, F.col("a") == F.col("doc_id_a")).join(other, F.col("b") == F.col("doc_id_b"))
             .where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"))
@@ -192,12 +182,10 @@ def close_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
                 for x in (left, right))
         return pa.array(np.abs(a - b).sum(axis=1, dtype=np.int64))
 
-    rows = rows.withColumn("same", F.col("fp_a") == F.col("fp_b"))
-    return rows.where(F.col("same") | (7 * apart("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b"))) \
-        .select("a", "b", "same")
+    return rows.where(7 * apart("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, tasks: int) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of different sets that are similar enough, counted on the sets themselves."""
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,13 +223,16 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     tasks = tasks_for(docs)
     known = written(profiles(docs))
     one = known.where("doc_id IS NOT NULL AND n > 0")
-    members = written(buckets(signatures(docs), tasks))
-    stars = written(members.where("doc_id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-                    .agg(F.count("*").alias("shared")))
+    first = one.groupBy("fp").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("fp", "a")
+    copies = written(one.join(first, "fp").where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
+    members = written(buckets(signatures(without(docs, copies.select(F.col("b").alias("doc_id")))), tasks))
+    release(docs.sparkSession)
+    stars = (members.where("doc_id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+             .agg(F.count("*").alias("shared")))
+    stars = written(stars)
     stars = written(close_enough(stars.select("a", "b"), one).join(stars, ["a", "b"]))
-    best = stars.where("NOT same").groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = stars.where("same").select("a", "b").union(verified(written(best.select("a", "b")), docs, tasks))
-    links = written(links)
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
+    links = written(copies.union(verified(written(best.select("a", "b")), docs)))
     labels = components(links)
 
     def apart(pairs: DataFrame) -> DataFrame:
@@ -255,13 +246,13 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
         pairs = written(pairs)
         if pairs.isEmpty():
             return
-        found = written(verified(pairs, docs, tasks))
+        found = written(verified(pairs, docs))
         if not found.isEmpty():
             links = links.union(found)
             labels = components(links)
 
-    add(apart(stars.where("NOT same").select("a", "b")))
-    rest = written(unfinished(members, labels))
+    add(apart(stars.select("a", "b")))
+    rest = written(unfinished(members, labels, one))
     low = 1
     while not rest.where(F.col("nth") > low).limit(1).isEmpty():
         head, tail = rest.where(F.col("nth").between(low, 8 * low - 1)), rest.where(F.col("nth") > low)
@@ -270,27 +261,35 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
                                    F.col("label").alias("ly")), (F.col("sig") == F.col("sy"))
                        & (F.col("nx") < F.col("ny")) & (F.col("lx") != F.col("ly")))
                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        add(apart(close_enough(pairs, one).where("NOT same")))
+        add(apart(close_enough(pairs, one)))
         low *= 8
     result = labels.select(F.col("doc_id").alias("_id"), "label")
     return known.join(result, F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def unfinished(members: DataFrame, labels: DataFrame) -> DataFrame:
+def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
     """Members of buckets that are not connected yet and could hide a link, numbered anew within each bucket."""
-    named = (members.select("sig", "doc_id", "used", "most").dropDuplicates(["sig", "doc_id"])
-             .join(labels.select(F.col("doc_id").alias("_id"), "label"), F.col("doc_id") == F.col("_id"), "left")
-             .select("sig", "doc_id", "used", "most", F.coalesce("label", "doc_id").alias("label")))
+    labels = labels.select(F.col("doc_id").alias("_id"), "label")
+    named = members.join(small(labels), F.col("doc_id") == F.col("_id"), "left") \
+        .select("sig", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     spread = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
-              .select(F.col("sig").alias("_sig"), "size", (F.col("lo") != F.col("hi")).alias("open")))
-    named = named.join(spread, F.col("sig") == F.col("_sig")).withColumn("hot", F.col("size") > HOT)
-    common = (named.where("hot").groupBy("doc_id", (F.col("sig").bitwiseAND(63)).alias("frame"))
-              .agg(F.count("*").alias("n_hot"), F.max("used").alias("u"), F.max("most").alias("k"))
-              .where("u - n_hot <= k").select(F.col("doc_id").alias("_doc"), F.col("frame").alias("_frame")))
+              .where(f"size > {HOT} OR lo <> hi").select(F.col("sig").alias("_sig"), "size", (F.col("lo") != F.col("hi"))
+                                                         .alias("open")))
+    named = written(named.join(spread, F.col("sig") == F.col("_sig")).dropDuplicates(["sig", "doc_id"])
+                    .select("sig", "doc_id", "label", "open", (F.col("size") > HOT).alias("hot")))
+    code = F.col("sig").bitwiseAND(63).cast("int")
+    common = (named.where("hot").groupBy("doc_id", code.alias("code")).agg(F.count("*").alias("n_hot"))
+              .join(known.select(F.col("doc_id").alias("_known"), "n", "used", "used_below"),
+                    F.col("doc_id") == F.col("_known"))
+              .withColumn("home", F.floor(F.log2("n") + F.lit(1e-9)).cast("int"))
+              .withColumn("in_use", F.when(F.col("code") >= FINEST, F.col("n"))
+                          .otherwise(F.when(F.col("code") == F.col("home"), F.col("used")).otherwise(F.col("used_below"))))
+              .withColumn("most", F.expr(f"""CASE WHEN code % {FINEST} = home THEN (n + 4 * n div 3) div 7
+                                                  ELSE (n + shiftleft(1L, home) - 1) div 7 END"""))
+              .where("in_use - n_hot <= most").select(F.col("doc_id").alias("_doc"), F.col("code").alias("_code")))
     left = named.where("open AND NOT hot").select("sig", "doc_id", "label").union(
-        named.where("open AND hot").join(common, (F.col("doc_id") == F.col("_doc"))
-                                         & (F.col("sig").bitwiseAND(63) == F.col("_frame")), "left_semi")
+        named.where("open AND hot").join(common, (F.col("doc_id") == F.col("_doc")) & (code == F.col("_code")), "left_semi")
         .select("sig", "doc_id", "label"))
     order = Window.partitionBy("sig").orderBy("doc_id")
     return left.withColumn("nth", F.row_number().over(order) - 1)

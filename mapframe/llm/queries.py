@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact, jaccard, quality, secrets, toxicity, urls
+from . import bpe, decontam, exact, jaccard, licenses, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict = {}
@@ -77,3 +77,9 @@ def op9_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its toxicity."""
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice of every document."""
+    return licenses.notices(table(spark, sf_dir, "documents"))
