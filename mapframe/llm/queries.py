@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, exact, jaccard, licenses, quality, secrets, toxicity, urls
+from . import bpe, decontam, exact, jaccard, licenses, lm, quality, secrets, toxicity, urls
 from .common import table
 
 QUERIES: dict = {}
@@ -83,3 +83,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every licence notice of every document."""
     return licenses.notices(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its probability under the language model."""
+    return lm.language_scores(table(spark, sf_dir, "documents"))
