@@ -13,16 +13,20 @@ from pyspark.sql import functions as F
 
 def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str,
               out: str = "latest", bucket_seconds: int = 3600) -> DataFrame:
-    """``left`` with the struct ``out`` of time and value of the latest right row, NULL without one."""
+    """``left`` with the struct ``out`` of time and value of the latest right row, NULL without one.
+
+    NULL keys and NULL times match nothing. Of right rows at the same time, the one with the largest value counts.
+    """
     def bucket(t):
         return F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (bucket_seconds * 1_000_000))
 
     row = F.struct(F.col(time).alias("time"), F.col(value).alias("value"))
-    there = right.select(F.col(key).alias("_k"), F.col(time).alias("_t"), bucket(time).alias("_b"), row.alias("_r"))
-    here = left.withColumns({"_k": F.col(key), "_t": F.col(time), "_b": bucket(time)})
+    known = F.col(key).isNotNull() & F.col(time).isNotNull()
+    there = right.where(known).select(F.col(key).alias("_k"), F.col(time).alias("_t"), bucket(time).alias("_b"), row.alias("_r"))
+    here = left.where(known).withColumns({"_k": F.col(key), "_t": F.col(time), "_b": bucket(time)})
 
     # carried into a bucket: the latest row of all earlier buckets
-    last = there.groupBy("_k", "_b").agg(F.max_by("_r", "_t").alias("_r"))
+    last = there.groupBy("_k", "_b").agg(F.max("_r").alias("_r"))
     buckets = here.select("_k", "_b").distinct()
     timeline = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = (last.join(buckets, ["_k", "_b"], "full")
@@ -35,9 +39,11 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str
                        F.lit(None).cast(there.schema["_r"].dataType).alias("_r"))
     marks = there.select("_k", "_t", "_b", F.lit(0).alias("_side"),
                          F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), "_r")
-    so_far = (Window.partitionBy("_k", "_b").orderBy("_t", "_side")
+    so_far = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_r")
               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     found = (rows.unionByName(marks).withColumn("_near", F.last("_r", ignorenulls=True).over(so_far))
              .where("_side = 1"))
-    return (found.join(carried, ["_k", "_b"], "left")
-            .select("_left.*", F.coalesce("_near", "_carry").alias(out)))
+    matched = (found.join(carried, ["_k", "_b"], "left")
+               .select("_left.*", F.coalesce("_near", "_carry").alias(out)))
+    alone = left.where(~known).select("*", F.lit(None).cast(matched.schema[out].dataType).alias(out))
+    return matched.unionByName(alone)

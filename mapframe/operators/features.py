@@ -16,6 +16,7 @@ from .profile import FID, INTERNAL
 
 # Limits of one request.
 MAX_FEATURES = 500_000
+NEAR = 5_000  # pages up to here are one top-k
 MAX_DISTINCT = 100
 BUCKET = 1 << 20  # row numbers per ordering bucket
 
@@ -104,10 +105,10 @@ def unique_values(df: DataFrame, column: str, limit: int = MAX_DISTINCT) -> Data
 
 # --- order, paging --------------------------------------------------------
 
-def cap_limit(requested: int | None, count: int) -> tuple[int, bool]:
+def cap_limit(requested: int | None, count: int, cap: int | None = None) -> tuple[int, bool]:
     """(rows to return, whether the cap cut something off)."""
     wanted = count if requested is None else requested
-    return min(wanted, MAX_FEATURES), wanted > MAX_FEATURES
+    return (wanted, False) if cap is None else (min(wanted, cap), wanted > cap)
 
 
 def _bucket_starts(df: DataFrame, key: str) -> DataFrame:
@@ -134,11 +135,12 @@ def with_position(df: DataFrame, key: str = FID, out: str = "_pos") -> DataFrame
             .drop("_bucket", "_before", "_rank"))
 
 
-def page(df: DataFrame, limit: int, offset: int = 0, key: str = FID, near: int = MAX_FEATURES) -> DataFrame:
+def page(df: DataFrame, limit: int, offset: int = 0, key: str = FID, near: int = NEAR) -> DataFrame:
     """Rows ``offset .. offset + limit`` in key order.
 
-    Pages near the start are one top-k.  For deeper ones a count per key bucket
-    finds the key range of the page, so that the scan reads little else.
+    Some thousand rows near the start are one top-k.  For larger or deeper pages
+    a count per key bucket finds the key range of the page, so that the scan
+    reads little else and no task merges large top-k lists.
     """
     if limit < 0 or offset < 0:
         raise BadRequest("limit and offset must not be negative")

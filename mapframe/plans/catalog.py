@@ -199,22 +199,29 @@ class Catalog:
         dataset = self.get(dataset) if isinstance(dataset, str) else dataset
         return self.spark.read.parquet(self.data_path(dataset.table_name))
 
-    def features(self, dataset_id: str, limit: int | None = None, offset: int = 0, bbox=None) -> Page:
-        """One page in row order: attributes, then ``geometry``; internally still with its row number."""
+    def features(self, dataset_id: str, limit: int | None = None, offset: int = 0, bbox=None,
+                 cap: int | None = None) -> Page:
+        """Attributes, then ``geometry``; internally still with the row number.
+
+        All rows, in no order, without limit, offset and cap; else one page in row order. A cap cuts larger requests off
+        and says so.
+        """
         dataset = self.get(dataset_id)
         if dataset.geometry_column is None:
             raise BadRequest("Dataset has no geometry")
-        rows, truncated = fe.cap_limit(limit, dataset.feature_count)
         found = fe.bbox_filter(self.table(dataset), bbox, dataset.geometry_column, dataset.points)
-        page = fe.page(fe.project(found, dataset.geometry_column, keep_fid=True), rows, offset or 0)
-        return Page(page, dataset.feature_count, truncated)
-
-    def features_arrow(self, dataset_id: str, limit=None, offset=0, bbox=None) -> bytes:
-        page = self.features(dataset_id, limit, offset, bbox).features
+        found = fe.project(found, dataset.geometry_column, keep_fid=True)
+        if limit is None and not offset and cap is None:
+            return Page(found, dataset.feature_count, False)
+        rows, truncated = fe.cap_limit(limit, dataset.feature_count, cap)
+        return Page(fe.page(found, rows, offset or 0), dataset.feature_count, truncated)
+
+    def features_arrow(self, dataset_id: str, limit=None, offset=0, bbox=None, cap=fe.MAX_FEATURES) -> bytes:
+        page = self.features(dataset_id, limit, offset, bbox, cap).features
         return arrow_stream.to_arrow_ipc(page.drop(pr.FID))
 
-    def features_geojson(self, dataset_id: str, limit=None, offset=0, bbox=None) -> str:
-        return geojson.collection(self.features(dataset_id, limit, offset, bbox).features)
+    def features_geojson(self, dataset_id: str, limit=None, offset=0, bbox=None, cap=fe.MAX_FEATURES) -> str:
+        return geojson.collection(self.features(dataset_id, limit, offset, bbox, cap).features)
 
     def export_arrow(self, dataset_id: str, path: str, bbox=None) -> None:
         """Every feature, one Arrow stream file per task."""

@@ -133,11 +133,12 @@ def row_positions(spark, sf_dir):
     return numbered.select("o_orderkey", F.col("_pos").alias("position"))
 
 
-@query("SELECT count(*) AS total, least(count(*), 500000) AS returned, count(*) > 500000 AS truncated FROM lineitem")
+@query("""SELECT event_id, (SELECT count(*) FROM events) > 5000 AS truncated FROM events ORDER BY event_id LIMIT 5000""")
 def features_cap(spark, sf_dir):
-    total = d.table(spark, sf_dir, "lineitem").agg(F.count(F.lit(1)).alias("total"))
-    capped = F.least(F.col("total"), F.lit(features.MAX_FEATURES).cast("bigint"))
-    return total.select("total", capped.alias("returned"), (F.col("total") > features.MAX_FEATURES).alias("truncated"))
+    """A request without a limit under a cap."""
+    e = d.table(spark, sf_dir, "events")
+    rows, truncated = features.cap_limit(None, e.count(), cap=5_000)
+    return features.page(e.select("event_id"), rows, key="event_id").select("event_id", F.lit(truncated).alias("truncated"))
 
 
 @query(f"""WITH s AS ({d.SQL_SEGMENTS}) SELECT l_orderkey, round(sum(sqrt((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay))), 6) AS length
@@ -549,6 +550,20 @@ def asof_join(spark, sf_dir):
     return found.select("event_id", "user_id", F.col("latest.value").alias("click_id"))
 
 
+@query("""WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 5 <> 0 THEN user_id END AS user_id,
+CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events),
+clicks AS (SELECT user_id, ts, max(event_id) AS event_id FROM e WHERE event_type = 'click' GROUP BY ALL)
+SELECT b.event_id, b.user_id, c.event_id AS click_id
+FROM (SELECT * FROM e WHERE event_type <> 'click') b ASOF LEFT JOIN clicks c ON b.user_id = c.user_id AND b.ts >= c.ts""")
+def asof_join_null_keys(spark, sf_dir):
+    """NULL keys and NULL times match nothing."""
+    e = d.table(spark, sf_dir, "events").select(
+        "event_id", "event_type", F.when(F.col("event_id") % 5 != 0, F.col("user_id")).alias("user_id"),
+        F.when(F.col("event_id") % 7 != 0, F.col("ts")).alias("ts"))
+    found = asof.asof_join(e.where("event_type <> 'click'"), e.where("event_type = 'click'"), "user_id", "ts", "event_id")
+    return found.select("event_id", "user_id", F.col("latest.value").alias("click_id"))
+
+
 @query("""SELECT n_name, count(*) AS n FROM events JOIN nation ON value >= n_nationkey * 4 AND value < n_nationkey * 4 + 4 GROUP BY n_name""")
 def range_join(spark, sf_dir):
     """A range join as an equi-join on the band number."""
@@ -845,12 +860,15 @@ def identify(spark, sf_dir):
     return features.identify(customers(spark, sf_dir), 20.0, 10.0, 15.003, points=True)
 
 
-@query("""SELECT field, kind FROM (VALUES ('c_custkey', 'number'), ('c_name', 'string'), ('c_nationkey', 'number'),
-('c_acctbal', 'number'), ('c_mktsegment', 'string')) AS t(field, kind), (SELECT count(*) AS n FROM customer) WHERE n > 0""")
+@query(" UNION ALL ".join(f"SELECT '{name}' AS field, '{kind}' AS kind, count({name}) AS n FROM customer" for name, kind in (
+    ("c_custkey", "number"), ("c_name", "string"), ("c_nationkey", "number"), ("c_acctbal", "number"),
+    ("c_mktsegment", "string"))))
 def field_kinds(spark, sf_dir):
+    """Kind of every field, with its values that are not NULL."""
     c = d.table(spark, sf_dir, "customer")
-    kinds = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(profile.field_kind(f)).alias("kind")) for f in c.schema])
-    return c.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(F.inline(kinds))
+    kinds = F.array(*[F.struct(F.lit(f.name).alias("field"), F.lit(profile.field_kind(f)).alias("kind"),
+                               F.col(f"n_{f.name}").alias("n")) for f in c.schema])
+    return c.agg(*[F.count(f.name).alias(f"n_{f.name}") for f in c.schema]).select(F.inline(kinds))
 
 
 @query("""WITH c AS (SELECT p_partkey, (p_partkey * 7919) % 16777216 AS v FROM part) SELECT p_partkey,
