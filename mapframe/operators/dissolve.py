@@ -1,6 +1,6 @@
 """Union of the geometries of a group.
 
-Polygons are merged in rounds of bounded groups: neighbours within one grid cell
+Geometries are merged in rounds of bounded groups: neighbours within one grid cell
 first, at most ``FAN_IN`` at a time, then coarser cells, until one geometry per
 key is left.  Copies are removed before the first shuffle.  Every round is
 written to the checkpoint folder, so a lost executor repeats one round at most.
@@ -42,7 +42,10 @@ def _multipoint(xs: pa.Array, ys: pa.Array) -> pa.Array:
 
 
 def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") -> DataFrame:
-    """One (multi)polygon per group covering exactly what its members cover."""
+    """One geometry per group covering exactly what its members cover, of points, lines and polygons alike.
+
+    A group without any geometry that covers something has NULL.
+    """
     spark = df.sparkSession
     if any(k.startswith("_") for k in keys):
         raise BadRequest("key names must not start with an underscore")
@@ -63,7 +66,9 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
         # counted from the lower corner, so that growing cells end as one cell
         cell = [F.floor(((F.col(low) + F.col(high)) / 2 - start) / size).alias(name)
                 for low, high, start, name in ((BBOX[0], BBOX[2], west, "_cx"), (BBOX[1], BBOX[3], south, "_cy"))]
-        placed = with_bounds(current, "geometry").select(*keys, "geometry", *cell)
+        # what covers nothing has no box, would never meet the others, and adds nothing to them
+        placed = (with_bounds(current, "geometry").where(F.col(BBOX[0]).isNotNull())
+                  .select(*keys, "geometry", *cell))
         cells = [*keys, "_cx", "_cy"]
         crowd = placed.groupBy(*[F.col(c).alias(f"_crowd_{c}") for c in cells]).agg(
             F.ceil(F.count(F.lit(1)) / FAN_IN).alias("_splits"))
@@ -75,8 +80,12 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
         merged.write.parquet(path)
         current = spark.read.schema(schema).parquet(path)
         if current.count() <= groups:
-            return current
+            break
         size *= 8
+    done = with_bounds(current, "geometry").where(F.col(BBOX[0]).isNotNull()).select(*keys, "geometry")
+    every = df.select(*[F.col(k).alias(f"_every_{k}") for k in keys]).distinct()
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_every_{k}")) for k in keys], F.lit(True))
+    return every.join(done, same, "left").select(*[F.col(f"_every_{k}").alias(k) for k in keys], "geometry")
 
 
 def _grid(boxed: DataFrame) -> tuple[float, float, float]:

@@ -678,6 +678,42 @@ def dissolve_polygons(spark, sf_dir):
     return merged.select("s_nationkey", r(spatial.st_area("geometry"), 4).alias("area"))
 
 
+@query(f"""WITH v AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM ({d.SQL_VERTICES}) WHERE vertices >= 2
+  WINDOW w AS (PARTITION BY l_orderkey ORDER BY seq)),
+l AS (SELECT l_orderkey % 25 AS k, string_agg(x || ' ' || y, ',' ORDER BY seq) AS there, string_agg(x || ' ' || y, ',' ORDER BY seq DESC) AS back,
+  sum(coalesce(sqrt((x - px) ** 2 + (y - py) ** 2), 0)) AS length FROM v WHERE px IS NULL OR x <> px OR y <> py GROUP BY l_orderkey)
+SELECT k, round(sum(length), 3) AS length FROM (SELECT k, least(there, back), any_value(length) AS length FROM l GROUP BY ALL) GROUP BY k""")
+def dissolve_lines(spark, sf_dir):
+    """Equal lines count once, in whichever direction they run."""
+    keyed = d.lines(spark, sf_dir).withColumn("k", F.col("l_orderkey") % 25)
+    merged = dissolve.dissolve_polygons(keyed, ["k"])
+    return merged.select("k", r(spatial.st_length("geometry"), 3).alias("length"))
+
+
+@query(f"""WITH p AS ({CUSTOMERS}), t AS ({d.SQL_TRIANGLES})
+SELECT c_custkey, NOT ({d.SQL_IN_TRIANGLE}) AS outside FROM p JOIN t ON c_nationkey % 5 = n_nationkey % 5 AND n_nationkey >= 20""")
+def overlay_points(spark, sf_dir):
+    """Points without a triangle: nothing is left of those inside."""
+    t = d.triangles(spark, sf_dir).where("n_nationkey >= 20").select("n_nationkey", F.col("geometry").alias("triangle"))
+    pairs = customers(spark, sf_dir).join(t, F.col("c_nationkey") % 5 == F.col("n_nationkey") % 5)
+    left = spatial.bounds(spatial.st_difference("geometry", "triangle"))
+    return pairs.select("c_custkey", left["xmin"].isNotNull().alias("outside"))
+
+
+@query(f"""WITH s AS (SELECT l_orderkey, ax, ay, ex - ax AS dx, ey - ay AS dy FROM ({d.SQL_SEGMENTS}) WHERE ex IS NOT NULL),
+t AS (SELECT *, CASE WHEN dx <> 0 THEN least((-60 - ax) / dx, (60 - ax) / dx) WHEN abs(ax) <= 60 THEN 0 ELSE 2 END AS x0,
+  CASE WHEN dx <> 0 THEN greatest((-60 - ax) / dx, (60 - ax) / dx) ELSE 1 END AS x1,
+  CASE WHEN dy <> 0 THEN least((-30 - ay) / dy, (30 - ay) / dy) WHEN abs(ay) <= 30 THEN 0 ELSE 2 END AS y0,
+  CASE WHEN dy <> 0 THEN greatest((-30 - ay) / dy, (30 - ay) / dy) ELSE 1 END AS y1 FROM s)
+SELECT l_orderkey, round(sum(sqrt(dx * dx + dy * dy) * (1 - greatest(0, least(1, x1, y1) - greatest(0, x0, y0)))), 3) AS length
+FROM t GROUP BY l_orderkey""")
+def overlay_lines_boxes(spark, sf_dir):
+    """Length of every line outside a box."""
+    box = spatial.st_makeenvelope(F.lit(-60.0), F.lit(-30.0), F.lit(60.0), F.lit(30.0))
+    left = d.lines(spark, sf_dir).select("l_orderkey", spatial.st_difference("geometry", box).alias("left"))
+    return left.select("l_orderkey", r(F.coalesce(spatial.st_length("left"), F.lit(0.0)), 3).alias("length"))
+
+
 # --- SQL text ------------------------------------------------------------------
 
 @query(f"""WITH p AS ({CUSTOMERS}) SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal,
