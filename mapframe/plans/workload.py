@@ -714,6 +714,25 @@ def overlay_lines_boxes(spark, sf_dir):
     return left.select("l_orderkey", r(F.coalesce(spatial.st_length("left"), F.lit(0.0)), 3).alias("length"))
 
 
+@query(f"""SELECT c_custkey AS id, round(x, 6) AS x, round(y, 6) AS y FROM ({CUSTOMERS})
+UNION ALL SELECT -1 - n_nationkey, x0, y0 FROM ({d.SQL_TRIANGLES})""")
+def geojson_mixed_directory(spark, sf_dir):
+    """Features on lines of their own, and one document that spreads over several lines, in one folder."""
+    path = scratch_path(spark)
+    rows = customers(spark, sf_dir).select("_fid", F.col("c_custkey").alias("id"), "geometry")
+    geojson.write_geojson(rows, path)
+    t = d.triangles(spark, sf_dir)
+    low = spatial.bounds("geometry")
+    points = t.select("_fid", (-1 - F.col("n_nationkey")).cast("bigint").alias("id"),
+                      spatial.st_point(low["xmin"], low["ymin"]).alias("geometry"))
+    document = geojson.feature_text(points, "_fid").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("f"))
+    document.select(F.concat(F.lit('{"type":\n"FeatureCollection",\n"features": [ '), "f", F.lit("\n]\n}")).alias("value")) \
+        .write.mode("append").text(path)
+    found = geojson.read_geojson(spark, path)
+    at = spatial.bounds("geometry")
+    return found.select("id", r(at["xmin"]).alias("x"), r(at["ymin"]).alias("y"))
+
+
 # --- SQL text ------------------------------------------------------------------
 
 @query(f"""WITH p AS ({CUSTOMERS}) SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, c_name, CAST(c_acctbal AS VARCHAR) AS c_acctbal,

@@ -2,16 +2,15 @@
 
 Reading: a file with one feature per line (newline-delimited, or a collection
 written that way) is split over tasks; other documents are parsed one per task.
+A folder may hold both kinds.  What is neither a feature, nor a geometry, nor a
+line of a collection around them, is an error.
 Writing: typed, valid JSON; newline-delimited files at any size, and one
 collection text for pages of bounded size.
 """
 
 from __future__ import annotations
 
-import json
-import re
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,20 +18,28 @@ from ..errors import BadRequest
 from ..functions import spatial
 from ..operators.profile import FID, INTERNAL
 
-DOCUMENT = "type string, crs string, properties string, geometry string, " \
+DOCUMENT = "type string, crs string, properties string, geometry string, coordinates string, geometries string, " \
            "features array<struct<properties:string,geometry:string>>"
-# lines of a collection that hold no feature
-WRAPPER = r'^(\{|\}|\]|\]\s*\}|\{?\s*"(type|name|features|crs|bbox)"\s*:.*)$'
+GEOMETRIES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
+# whole lines of a collection that hold no feature: brackets, and members of the collection itself
+MEMBER = (r'("type"\s*:\s*"FeatureCollection"|"features"\s*:\s*\[|"(name|title|description|id)"\s*:\s*("[^"]*"|[0-9]+)'
+          r'|"bbox"\s*:\s*\[[^\[\]]*\]|"crs"\s*:\s*\{[^{}]*(\{[^{}]*\})?[^{}]*\})')
+WRAPPER = rf'^[\[\]{{}},\s]*({MEMBER}[\[\]{{}},\s]*)*$'
+CRS = r'"crs"\s*:\s*\{[^}]*\{[^}]*EPSG:{1,2}(\d+)'
 
 
 def read_geojson(spark: SparkSession, path: str, layout: str = "auto", schema: str | None = None) -> DataFrame:
-    """Typed attributes and a ``geometry`` column of WKB; ``layout`` is auto, lines or document."""
+    """Typed attributes and a ``geometry`` column of WKB; ``layout`` is auto (chosen for each file), lines or document."""
     if layout not in ("auto", "lines", "document"):
         raise BadRequest(f"Unknown layout: {layout}")
-    head = [r.value for r in spark.read.text(path).limit(50).collect()]
-    if layout == "auto":
-        layout = "lines" if any(_is_feature(line) for line in head) else "document"
-    features = _lines(spark, path) if layout == "lines" else _documents(spark, path)
+    if layout == "lines":
+        features = _lines(spark, path)
+    else:
+        by_line, whole = _layouts(spark, path)
+        if layout == "document" and by_line:
+            raise BadRequest(f"Files with one feature per line are no single documents: {by_line[0]}")
+        parts = [read(spark, files) for read, files in ((_lines, by_line), (_documents, whole)) if files]
+        features = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     features = features.select(F.monotonically_increasing_id().alias(FID), "*")
     if schema is None:
         schema = infer_properties(features)
@@ -44,37 +51,56 @@ def read_geojson(spark: SparkSession, path: str, layout: str = "auto", schema: s
 
 
 def declared_srid(spark: SparkSession, path: str) -> int | None:
-    """EPSG code of a ``crs`` member near the top of the file."""
-    text = "\n".join(r.value[:4000] for r in spark.read.text(path).limit(20).collect())
-    found = re.search(r'"crs"\s*:\s*\{[^}]*\{[^}]*EPSG:{1,2}(\d+)', text)
-    return int(found.group(1)) if found else None
+    """EPSG code of a ``crs`` member, wherever it stands; files that disagree give the smallest."""
+    def least(rows: DataFrame, column: str):
+        code = F.regexp_extract(column, CRS, 1)
+        return rows.where(code != "").agg(F.min(code.cast("int"))).head()[0]
+
+    found = least(spark.read.text(path), "value")
+    if found is None:  # a member that is spread over lines
+        _, whole = _layouts(spark, path)
+        if whole:
+            docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(whole)
+            found = least(docs.select(F.concat(F.lit('"crs":'), "crs").alias("crs")), "crs")
+    return found
+
+
+def _stripped() -> Column:
+    return F.regexp_replace(F.trim("value"), r",$", "")
 
 
-def _is_feature(line: str) -> bool:
-    try:
-        value = json.loads(line.strip().rstrip(","))
-    except ValueError:
-        return False
-    return isinstance(value, dict) and value.get("type") == "Feature"
+def _layouts(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """Names of the files with several features or geometries on lines of their own, and of all others."""
+    kind = F.from_json(_stripped(), "type string")["type"]
+    files = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
+                                          kind.isin("Feature", *GEOMETRIES).cast("int").alias("own"),
+                                          (kind == "FeatureCollection").cast("int").alias("all"))
+             .groupBy("file").agg(F.sum("own").alias("own"), F.max("all").alias("all")).collect())
+    by_line = [r.file for r in files if (r.own or 0) > 0 and not r.all]
+    return by_line, [r.file for r in files if r.file not in set(by_line)]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    text = F.regexp_replace(F.trim("value"), r",$", "")
-    parsed = (spark.read.text(path).select(text.alias("line")).where("line <> ''")
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    parsed = (spark.read.text(path).select(_stripped().alias("line")).where("line <> ''")
               .select("line", F.from_json("line", DOCUMENT).alias("f")))
     problem = F.concat(F.lit("not one feature per line, read with layout='document': "), F.substring("line", 1, 80))
-    known = (F.when(F.col("f.type") == "Feature", True).when(F.col("line").rlike(WRAPPER), False)
+    bare = F.col("f.type").isin(*GEOMETRIES)
+    known = (F.when((F.col("f.type") == "Feature") | bare, True).when(F.col("line").rlike(WRAPPER), False)
              .otherwise(F.raise_error(problem).cast("boolean")))
-    # a header line may not carry features of its own
-    packed = F.col("line").rlike(r'"features"\s*:\s*\[\s*\{')
-    known = F.when((F.col("f.type").isNull() | (F.col("f.type") != "Feature")) & packed,
-                   F.raise_error(problem).cast("boolean")).otherwise(known)
-    return parsed.where(known).select("f.properties", "f.geometry")
+    return parsed.where(known).select("f.properties", F.when(bare, F.col("line")).otherwise(F.col("f.geometry")).alias("geometry"))
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
+def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
     docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    single = F.when(F.col("type") == "Feature", F.array(F.struct("properties", "geometry")))
+    member = F.when(F.col("type") == "GeometryCollection", F.concat(F.lit('"geometries":'), "geometries")) \
+        .otherwise(F.concat(F.lit('"coordinates":'), "coordinates"))
+    bare = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('",'), member, F.lit("}"))
+    none = F.lit(None).cast("string").alias("properties")
+    single = (F.when(F.col("type") == "Feature", F.array(F.struct("properties", "geometry")))
+              .when(F.col("type").isin(*GEOMETRIES), F.array(F.struct(none, bare.alias("geometry"))))
+              .when(F.col("type") == "FeatureCollection", F.array().cast("array<struct<properties:string,geometry:string>>"))
+              .otherwise(F.raise_error(F.concat(F.lit("not GeoJSON: type "), F.coalesce("type", F.lit("missing"))))
+                         .cast("array<struct<properties:string,geometry:string>>")))
     return docs.select(F.explode(F.coalesce("features", single)).alias("f")).select("f.properties", "f.geometry")
 
 
