@@ -36,11 +36,17 @@ def crc_part(column: str | Column, parts: int) -> Column:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: later steps read it, a lost executor costs one step."""
-    spark = df.sparkSession
+    """``df`` as a table in the shared folder: later steps read it, a lost executor costs one step.
+
+    Shuffle files of plans that the driver has collected go by now instead of when its memory runs short.
+    """
+    spark, schema = df.sparkSession, df.schema
     path = scratch_path(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
 
 
 def tasks_for(df: DataFrame) -> int:
@@ -70,8 +76,3 @@ def without(df: DataFrame, ids: DataFrame) -> DataFrame:
     ids = ids.select(F.col("doc_id").alias("_unwanted")).distinct()
     return df.join(small(ids), df["doc_id"] == F.col("_unwanted"), "left_anti")
 
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files of tables that are written by now; it does so for plans that the JVM has collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

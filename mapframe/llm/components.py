@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import written
@@ -28,9 +28,12 @@ def components(links: DataFrame) -> DataFrame:
         large = _to_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         small = _to_least(large, "u", "v")  # here v < u
-        edges = written(small.select(F.col("v").alias("u"), F.col("m").alias("v"))
-                        .union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = (small.select(F.col("v").alias("u"), F.col("m").alias("v"))
+                 .union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        seen = Observation()
+        edges = written(edges.observe(seen, F.count("*").alias("n"),
+                                      F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("check")))
+        now = seen.get
         if now == before:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("label"))
         before = now

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import whole
+from .common import whole, without, written
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.5
@@ -218,5 +218,4 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``docs`` in which no item is confirmed, with all their columns."""
-    leaked = leaks(docs, items).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, docs["doc_id"] == leaked["_leaked"], "left_anti")
+    return without(docs, written(leaks(docs, items).select("doc_id")))

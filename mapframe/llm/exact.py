@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, whole
+from .common import SPACES, whole, without, written
 
 
 def normalised(text: Column) -> Column:
@@ -39,5 +39,4 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    dropped = exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    return without(docs, written(exact_groups(docs).where(~F.col("kept")).select("doc_id")))

@@ -15,12 +15,14 @@ Sets that share a signature form a bucket. Buckets are never expanded into all p
    not connected. Where more than ``HOT`` sets share a signature (a passage that many texts quote), only those sets take
    part that have k partitions or fewer which are not so common: all others share a rare one with each similar set.
 
-Pairs are dropped before their sets are read if the counts of their shingles in 256 classes differ by more than k.
+Pairs are dropped before their sets are read if the counts of their shingles in some hundred classes (more for larger
+sets) differ by more than k.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import only, release, small, tasks_for, whole, without, written
+from .common import only, small, tasks_for, whole, without, written
 from .components import components
 
 WORDS = 5
@@ -71,6 +73,32 @@ def partitions(shingles: np.ndarray, frame: int) -> tuple[np.ndarray, np.ndarray
     return starts, index[starts]
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """Counts, at most 255 each, of 256 classes or about as many as a third of the set."""
+    classes = max(256, 1 << max(len(shingles).bit_length() - 2, 0))
+    counts = np.bincount((shingles & _U(classes - 1)).astype(np.intp), minlength=classes)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+
+
+def apart(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Sum of the differences of two columns of sketches, a lower bound for the number of differing shingles.
+
+    Classes are the last bits of a hash, so a longer sketch is folded to the length of a shorter one.
+    """
+    out = np.zeros(len(left), np.int64)
+    a, b = left.to_pylist(), right.to_pylist()
+    short = [i for i in range(len(a)) if len(a[i]) == len(b[i]) == 256]
+    if short:
+        x, y = (np.frombuffer(b"".join([c[i] for i in short]), np.uint8).reshape(-1, 256).astype(np.int16) for c in (a, b))
+        out[short] = np.abs(x - y).sum(axis=1, dtype=np.int64)
+    for i in set(range(len(a))) - set(short):
+        x, y = (np.frombuffer(c[i], np.uint8).astype(np.int64) for c in (a, b))
+        least = min(len(x), len(y))
+        x, y = (np.minimum(c.reshape(-1, least).sum(axis=0), 255) for c in (x, y))
+        out[i] = np.abs(x - y).sum()
+    return out
+
+
 def profiles(docs: DataFrame) -> DataFrame:
     """Size, fingerprint, class counts (at most 255 each) and partitions in use of every row's shingle set."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,8 +107,7 @@ def profiles(docs: DataFrame) -> DataFrame:
             for _, shingles in shingle_sets(batch):
                 sizes.append(len(shingles))
                 prints.append(fingerprint(shingles))
-                counts = np.bincount((shingles & _U(255)).astype(np.intp), minlength=256)
-                sketches.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
+                sketches.append(sketch(shingles))
                 frames = frames_of(len(shingles)) if len(shingles) else []
                 used.append([len(partitions(shingles, f)[0]) for f, _ in frames] + [None] * (2 - len(frames)))
             yield pa.RecordBatch.from_arrays(
@@ -108,10 +135,10 @@ def _label(hashes: np.ndarray, frame: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Signatures of all sets. If a batch holds one more than HOT / 4 times, its first row goes on alone; all its rows are
-    members already, with their pivot in the batch and a key of their own."""
+    """Signatures of all sets. If a slice holds one more than HOT / 4 times, its first row goes on alone; all its rows are
+    members already, with their pivot in the slice and a key of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for batch in batches for part in textkit.slices(batch, "text")):
             ids = batch.column("doc_id").to_numpy()
             sigs, rows = [], []
             for row, shingles in shingle_sets(batch):
@@ -175,23 +202,22 @@ def close_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
             .where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"))
 
     @F.arrow_udf("long")
-    def apart(left: pa.Array, right: pa.Array) -> pa.Array:
-        if not len(left):
-            return pa.array([], pa.int64())
-        a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, 256).astype(np.int16)
-                for x in (left, right))
-        return pa.array(np.abs(a - b).sum(axis=1, dtype=np.int64))
+    def difference(left: pa.Array, right: pa.Array) -> pa.Array:
+        return pa.array(apart(left, right), pa.int64())
 
-    return rows.where(7 * apart("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    return rows.where(7 * difference("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b")).select("a", "b")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different sets that are similar enough, counted on the sets themselves."""
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([s.tobytes() for _, s in shingle_sets(batch)], pa.binary())],
-                ["doc_id", "shingles"])
+    """Pairs (a, b) of different sets that are similar enough, counted on the sets themselves.
+
+    The sets of b go to the pair's a, so that only one set for each pair and one for each a are moved.
+    """
+    def sets(*args) -> Iterator[pa.RecordBatch]:
+        *ids, batches = args
+        for batch in (part for batch in batches for part in textkit.slices(batch, "text")):
+            found = pa.array([s.tobytes() for _, s in shingle_sets(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in ids), found], [*ids, "shingles"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,11 +230,13 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 keep.append(100 * common >= 75 * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    known = only(whole(docs), ids).mapInArrow(sets, "doc_id long, shingles binary")
-    rows = (pairs.join(known.select(F.col("doc_id").alias("_a"), F.col("shingles").alias("x")), F.col("a") == F.col("_a"))
-            .join(known.select(F.col("doc_id").alias("_b"), F.col("shingles").alias("y")), F.col("b") == F.col("_b")))
-    return rows.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    texts = whole(docs)
+    other = texts.join(small(pairs), F.col("doc_id") == F.col("b")).select("a", "b", "text")
+    other = other.mapInArrow(partial(sets, "a", "b"), "a long, b long, shingles binary")
+    pivots = only(texts, pairs.select(F.col("a").alias("doc_id"))).mapInArrow(
+        partial(sets, "doc_id"), "doc_id long, shingles binary")
+    rows = other.join(pivots.select(F.col("doc_id").alias("_a"), F.col("shingles").alias("x")), F.col("a") == F.col("_a"))
+    return rows.select("a", "b", "x", F.col("shingles").alias("y")).mapInArrow(compare, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -226,7 +254,6 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     first = one.groupBy("fp").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("fp", "a")
     copies = written(one.join(first, "fp").where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
     members = written(buckets(signatures(without(docs, copies.select(F.col("b").alias("doc_id")))), tasks))
-    release(docs.sparkSession)
     stars = (members.where("doc_id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
              .agg(F.count("*").alias("shared")))
     stars = written(stars)
@@ -235,7 +262,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     links = written(copies.union(verified(written(best.select("a", "b")), docs)))
     labels = components(links)
 
-    def apart(pairs: DataFrame) -> DataFrame:
+    def loose(pairs: DataFrame) -> DataFrame:
         """Pairs that no links connect yet."""
         la, lb = (labels.select(F.col("doc_id").alias(f"_{s}"), F.col("label").alias(f"_l{s}")) for s in "ab")
         return (pairs.join(la, F.col("a") == F.col("_a"), "left").join(lb, F.col("b") == F.col("_b"), "left")
@@ -251,7 +278,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
             links = links.union(found)
             labels = components(links)
 
-    add(apart(stars.select("a", "b")))
+    add(loose(stars.select("a", "b")))
     rest = written(unfinished(members, labels, one))
     low = 1
     while not rest.where(F.col("nth") > low).limit(1).isEmpty():
@@ -261,7 +288,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
                                    F.col("label").alias("ly")), (F.col("sig") == F.col("sy"))
                        & (F.col("nx") < F.col("ny")) & (F.col("lx") != F.col("ly")))
                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        add(apart(close_enough(pairs, one)))
+        add(loose(close_enough(pairs, one)))
         low *= 8
     result = labels.select(F.col("doc_id").alias("_id"), "label")
     return known.join(result, F.col("doc_id") == F.col("_id"), "left").select(
@@ -297,5 +324,4 @@ def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataF
 
 def first_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without those that are linked with a document of smaller id."""
-    dropped = similarity_classes(docs).where("component_id <> doc_id").select(F.col("doc_id").alias("_dropped"))
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    return without(docs, written(similarity_classes(docs).where("component_id <> doc_id").select("doc_id")))

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 2 << 20  # bytes of text that are worked on at a time
+CHUNK = 1 << 19  # bytes of text that are worked on at a time
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
@@ -122,6 +122,16 @@ def grams(hashes: np.ndarray, n: int) -> np.ndarray:
     return mix(out)
 
 
+def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about ``size`` bytes of text, so that what is made of them stays small."""
+    _, offsets = buffers(batch.column(column))
+    at = 0
+    while at < batch.num_rows:
+        to = max(int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1, at + 1)
+        yield batch.slice(at, min(to, batch.num_rows) - at)
+        at = to
+
+
 def batches(batch: pa.RecordBatch, column: str, separators: np.ndarray = SPACE) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of ranges of a batch."""
     data, offsets = buffers(batch.column(column))

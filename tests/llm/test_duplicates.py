@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mapframe.llm import exact, jaccard
@@ -92,8 +94,6 @@ def test_odd_rows(docs_of):
 
 def test_similar_sets_share_a_signature():
     """The promise of the enumeration, on random pairs just inside the threshold."""
-    import numpy as np
-
     rng = np.random.default_rng(5)
     for _ in range(400):
         n = int(rng.integers(1, 300))
@@ -112,3 +112,13 @@ def test_components(spark):
     got = {r.doc_id: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {2: 1, 3: 1, 4: 1, 9: 8, 20: 10, 30: 10, 40: 10, 50: 10, 60: 10}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_sketches_never_overrate_the_difference():
+    rng = np.random.default_rng(6)
+    for n, extra in ((5, 3), (900, 400), (1000, 100), (3000, 1200), (200000, 30)):
+        a = np.unique(rng.integers(0, 2 ** 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[extra // 2:], rng.integers(0, 2 ** 63, extra, dtype=np.uint64)]))
+        differ = len(np.setxor1d(a, b))
+        got = jaccard.apart(*(pa.array([jaccard.sketch(x)] * 2, pa.binary()) for x in (a, b)))
+        assert (got <= differ).all() and (n > 100000 or (got >= 0.3 * differ).all())
