@@ -54,9 +54,15 @@ def _ready(df: DataFrame, geom: str, tag: str) -> DataFrame:
 
 
 def _measure(df: DataFrame, geom: str, d: float) -> _Side:
-    width = sum((F.lit(16) if f.dataType.typeName() not in ("string", "binary")
-                 else F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0)) for f in df.schema
-                 if f.name != geom), F.coalesce(F.octet_length(F.col(f"`{geom}`")), F.lit(0)))
+    def size(field):
+        kind, c = field.dataType.typeName(), F.col(f"`{field.name}`")
+        if kind in ("array", "map", "struct", "variant"):
+            c = F.to_json(F.struct(c))
+        elif kind not in ("string", "binary"):
+            return F.lit(16)
+        return F.coalesce(F.octet_length(c), F.lit(0))
+
+    width = sum((size(f) for f in df.schema if f.name != geom), F.coalesce(F.octet_length(F.col(f"`{geom}`")), F.lit(0)))
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(width).alias("size"),
                  F.collect_set(_level(d)).alias("levels"),
                  F.bool_and((F.col(BBOX[0]) == F.col(BBOX[2])) & (F.col(BBOX[1]) == F.col(BBOX[3]))).alias("points"),

@@ -8,6 +8,7 @@ by one task.
 
 from __future__ import annotations
 
+import codecs
 import re
 import struct
 from datetime import date
@@ -16,10 +17,12 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..errors import BadRequest
 from ..functions import codec
 from .files import exists, matching, read_range
 
 RECORDS_PER_TASK = 100_000
+SHAPES = (0, 1, 3, 5, 8, 11, 13, 15, 18, 21, 23, 25, 28)  # fixed values: none, points, lines, polygons, multipoints
 
 
 def _sidecar(path: str, suffix: str) -> str | None:
@@ -29,6 +32,19 @@ def _sidecar(path: str, suffix: str) -> str | None:
     return None
 
 
+def _encoding(table: str) -> str:
+    """Python's name for the encoding that the ``.cpg`` file next to an attribute file declares; UTF-8 without one."""
+    sidecar = _sidecar(table, ".cpg")
+    if sidecar is None:
+        return "utf-8"
+    name = read_range(sidecar, 0, None).decode("ascii", "replace").strip()
+    name = re.sub(r"^(ANSI|OEM)?\s*(?=\d)", "cp", name, flags=re.IGNORECASE) if not name.startswith("8859") else f"iso{name}"
+    try:
+        return codecs.lookup({"cp88591": "latin-1"}.get(name, name)).name
+    except LookupError:
+        raise BadRequest(f"Unknown encoding of attributes: {name}") from None
+
+
 class _Table:
     """Header of an attribute file."""
 
@@ -36,6 +52,7 @@ class _Table:
         self.path = path
         head = read_range(path, 0, 32)
         self.rows, self.header, self.width = struct.unpack("<IHH", head[4:12])
+        self.encoding = _encoding(path)
         raw = read_range(path, 32, self.header - 32)
         self.fields, at = [], 1
         for k in range(0, len(raw) - 31, 32):
@@ -52,14 +69,14 @@ class _Table:
                 for n, k, _, s, d in self.fields]
 
     def records(self, first, count):
+        """Values of each record, None for deleted ones."""
         data = read_range(self.path, self.header + first * self.width, count * self.width)
         for at in range(0, count * self.width, self.width):
             row = data[at: at + self.width]
-            yield [self.value(row[p: p + s], k, s, d) for _, k, p, s, d in self.fields]
+            yield None if row[:1] == b"*" else [self.value(row[p: p + s], k, s, d) for _, k, p, s, d in self.fields]
 
-    @staticmethod
-    def value(raw, kind, size, decimals):
-        text = raw.decode("utf-8", "replace").strip(" \0")
+    def value(self, raw, kind, size, decimals):
+        text = raw.decode(self.encoding, "replace").strip(" \0")
         if not text or (kind in "NF" and text.startswith("*")):
             return None
         if kind == "L":
@@ -73,14 +90,17 @@ class _Table:
 
 def record_geometry(data: bytes):
     """WKB of one record content; the shape code names the type, Z and M are dropped."""
-    code = struct.unpack_from("<i", data)[0] % 10
+    declared = struct.unpack_from("<i", data)[0]
+    if declared not in SHAPES:
+        raise BadRequest(f"Shapes of type {declared} are not supported")
+    code = declared % 10
     if code == 1:
         return codec.encode((codec.POINT, struct.unpack_from("<dd", data, 4)))
     if code == 8:
         count = struct.unpack_from("<i", data, 36)[0]
         xy = np.frombuffer(data, "<f8", 2 * count, 40).reshape(-1, 2).tolist()
         return codec.encode((codec.MULTIPOINT, [(codec.POINT, tuple(p)) for p in xy]))
-    if code not in (3, 5):
+    if code == 0:
         return None
     parts, count = struct.unpack_from("<ii", data, 36)
     starts = np.frombuffer(data, "<i4", parts, 44).tolist() + [count]
@@ -156,7 +176,8 @@ class _Reader(DataSourceReader):
             yield from ((g,) for g in geometries)
             return
         for g, row in zip(geometries, _Table(table).records(partition.first, len(geometries))):
-            yield (*row, g)
+            if row is not None:
+                yield (*row, g)
 
     def geometries(self, partition):
         if partition.count == 0:

@@ -67,7 +67,7 @@ def test_kml(spark, tmp_path):
         "<Placemark><name>m</name><MultiGeometry><Point><coordinates>1,2</coordinates></Point>"
         "<Point><coordinates>3,4</coordinates></Point></MultiGeometry></Placemark></Document></kml>")
     df = read_spatial(spark, str(tmp_path / "a.kml"))
-    assert wkt(df) == ["GEOMETRYCOLLECTION (POINT (1 2), POINT (3 4))", "LINESTRING (0 0, 1 1, 2 0)", "POINT (1 2)",
+    assert wkt(df) == ["LINESTRING (0 0, 1 1, 2 0)", "MULTIPOINT (1 2, 3 4)", "POINT (1 2)",
                        "POLYGON ((0 0, 4 0, 4 4, 0 0), (2 1, 3 1, 3 2, 2 1))"]
 
 
