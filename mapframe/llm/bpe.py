@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 LEAF_CHARS = 4096
 LEAF_BYTES = 48
-CACHED = 400_000  # chunks of text that a task remembers
-GROUP = 1 << 20  # characters that are encoded together
+CACHED = 200_000  # chunks of text that a task remembers
+GROUP = 1 << 19  # characters that are encoded together
 NONE = 1 << 30  # rank of a pair that is no token
 WINDOW = 64  # characters on either side of a seam to begin with
 LOOSE = regex.compile(r" (?=\s|\Z)|\x00")

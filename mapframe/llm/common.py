@@ -50,10 +50,13 @@ def written(df: DataFrame) -> DataFrame:
 
 
 def tasks_for(df: DataFrame) -> int:
-    """Tasks for a shuffle of as much as ``df`` reads: one for every 16 MB of files, at least the session's."""
+    """Tasks for a shuffle of as much as ``df`` reads: one for every 16 MB of files, at least the session's.
+
+    Spark knows no size of rows that come from elsewhere and gives a huge one.
+    """
     spark = df.sparkSession
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(size >> 24, 1 << 20))
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 24 if size < 1 << 60 else 0)
 
 
 
