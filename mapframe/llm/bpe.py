@@ -27,10 +27,14 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import textkit
+from .common import whole
+
 LEAF_CHARS = 4096
 LEAF_BYTES = 48
-CACHED = 200_000  # chunks of text that a task remembers
+CACHED = 150_000  # chunks of text that a task remembers
 GROUP = 1 << 19  # characters that are encoded together
+SLICE = 2 << 20  # bytes of text that a task hands on together
 NONE = 1 << 30  # rank of a pair that is no token
 WINDOW = 64  # characters on either side of a seam to begin with
 LOOSE = regex.compile(r" (?=\s|\Z)|\x00")
@@ -206,6 +210,18 @@ class Codec:
         return [self.halves(text, 0, len(text), iter([b"".join(map(get, parts)) for parts in leaf]))
                 for text, leaf in zip(texts, leaves)]
 
+    def encode_groups(self, texts: list[str]) -> list[bytes]:
+        """The same for any number of texts, about GROUP characters at a time."""
+        tokens: list[bytes] = []
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP:
+                tokens += self.encode_many(group)
+                group, size = [], 0
+        return tokens + self.encode_many(group)
+
     def leaves(self, lo: int, hi: int) -> Iterator[tuple[int, int]]:
         if hi - lo <= LEAF_CHARS:
             yield lo, hi
@@ -264,6 +280,12 @@ class Codec:
         return self.plain(ids[:half]) + self.plain(ids[half:])
 
 
+def listed(tokens: list[bytes]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, tokens)]) // 4
+    values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(tokens))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def encode(column: str | Column, ranks: bytes, pattern: str) -> Column:
     """Token ids (array of int) of a text column; NULL counts as empty, an empty text has no ids.
 
@@ -271,21 +293,9 @@ def encode(column: str | Column, ranks: bytes, pattern: str) -> Column:
     """
     @F.arrow_udf("array<int>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        gc.disable()  # nothing here refers to itself, and the cache makes every collection long
         codec = Codec(ranks, pattern)
         for array in texts:
-            tokens: list[bytes] = []
-            group, size = [], 0
-            for text in array.fill_null("").to_pylist():
-                group.append(text)
-                size += len(text)
-                if size > GROUP:
-                    tokens += codec.encode_many(group)
-                    group, size = [], 0
-            tokens += codec.encode_many(group)
-            ends = np.cumsum([0, *map(len, tokens)]) // 4
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(tokens))])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+            yield listed(codec.encode_groups(array.fill_null("").to_pylist()))
 
     return run(column)
 
@@ -303,9 +313,23 @@ def decode(column: str | Column, ranks: bytes, pattern: str) -> Column:
 
 
 def tokenized(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
-    """(doc_id, ids, decoded) of every row of (doc_id, text, ...); other columns are not carried along."""
-    encoded = docs.select("doc_id", encode(F.col("text"), ranks, pattern).alias("ids"))
-    return encoded.select("doc_id", "ids", decode(F.col("ids"), ranks, pattern).alias("decoded"))
+    """(doc_id, ids, decoded) of every row of (doc_id, text, ...); other columns are not carried along.
+
+    Both directions in one pass over slices of a batch: what a task holds besides its input is some megabytes.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # nothing here refers to itself, and the cache would make every collection long
+        try:
+            codec = Codec(ranks, pattern)
+            for batch in (part for batch in batches for part in textkit.slices(batch, "text", SLICE)):
+                tokens = codec.encode_groups(batch.column("text").to_pylist())
+                decoded = [codec.plain(np.frombuffer(ids, np.int32).tolist()) for ids in tokens]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), listed(tokens), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+        finally:
+            gc.enable()
+
+    return whole(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(tokens: DataFrame, *more: str) -> DataFrame:
