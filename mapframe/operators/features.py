@@ -105,7 +105,7 @@ def unique_values(df: DataFrame, column: str, limit: int = MAX_DISTINCT) -> Data
 
 # --- order, paging --------------------------------------------------------
 
-def cap_limit(requested: int | None, count: int, cap: int | None = None) -> tuple[int, bool]:
+def cap_limit(requested: int | None, count: int, cap: int | None = MAX_FEATURES) -> tuple[int, bool]:
     """(rows to return, whether the cap cut something off)."""
     wanted = count if requested is None else requested
     return (wanted, False) if cap is None else (min(wanted, cap), wanted > cap)
