@@ -11,8 +11,9 @@ Sets that share a signature form a bucket. Buckets are never expanded into all p
 
 1. Members of a bucket are compared with its first member, first each with the one it shares most signatures with.
 2. Buckets in which all members are connected by then are done.
-3. Of the others, further members are compared with all behind them, 1 to 7, 8 to 63 and so on, as far as they are
-   not connected. Where more than ``HOT`` sets share a signature (a passage that many texts quote), only those sets take
+3. Of the others, members are compared with all behind them, 0 to 7, 8 to 63 and so on, as far as they are not
+   connected. The first of those that are left need not be the one that all met: members may have met the first one of
+   their slice of the input, or the bucket's first member is not among them. Where more than ``HOT`` sets share a signature (a passage that many texts quote), only those sets take
    part that have k partitions or fewer which are not so common: all others share a rare one with each similar set.
 
 Pairs are dropped before their sets are read if the counts of their shingles in some hundred classes (more for larger
@@ -280,16 +281,19 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
 
     add(loose(stars.select("a", "b")))
     rest = written(unfinished(members, labels, one))
-    low = 1
+    met = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    low, high = 0, 8
     while not rest.where(F.col("nth") > low).limit(1).isEmpty():
-        head, tail = rest.where(F.col("nth").between(low, 8 * low - 1)), rest.where(F.col("nth") > low)
+        head, tail = rest.where(F.col("nth").between(low, high - 1)), rest.where(F.col("nth") > low)
         pairs = (head.select("sig", F.col("doc_id").alias("x"), F.col("nth").alias("nx"), F.col("label").alias("lx"))
                  .join(tail.select(F.col("sig").alias("sy"), F.col("doc_id").alias("y"), F.col("nth").alias("ny"),
                                    F.col("label").alias("ly")), (F.col("sig") == F.col("sy"))
                        & (F.col("nx") < F.col("ny")) & (F.col("lx") != F.col("ly")))
                  .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        if low == 0:
+            pairs = pairs.join(met, ["a", "b"], "left_anti")
         add(loose(close_enough(pairs, one)))
-        low *= 8
+        low, high = high, 8 * high
     result = labels.select(F.col("doc_id").alias("_id"), "label")
     return known.join(result, F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))

@@ -122,3 +122,44 @@ def test_sketches_never_overrate_the_difference():
         differ = len(np.setxor1d(a, b))
         got = jaccard.apart(*(pa.array([jaccard.sketch(x)] * 2, pa.binary()) for x in (a, b)))
         assert (got <= differ).all() and (n > 100000 or (got >= 0.3 * differ).all())
+
+
+def test_members_that_met_only_the_first_of_their_slice(spark, docs_of):
+    """Doc 140 shares partitions with so many of its slice that it meets those there, and they alone meet 5."""
+    passage, own = [f"p{i}" for i in range(88)], lambda i, k: [f"o{i}x{j}" for j in range(k)]
+    first = [(5, " ".join(passage + own(5, 12)))] + [(i, " ".join(own(i, 9))) for i in range(200, 240)]
+    second = [(i, " ".join(passage + own(i, 40))) for i in range(100, 140)] + [(140, " ".join(passage + own(140, 12)))]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(first + second, 2), docs_of([]).schema)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()}
+    assert got == classes_brute(first + second)
+    assert got[140][1] == 5
+
+
+def test_members_of_common_buckets_whose_first_is_left_out(docs_of, monkeypatch):
+    """All shingles of two texts are common, and of each bucket only these two are followed up."""
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    rnd = random.Random(1)
+
+    def sets(words):
+        return next(jaccard.shingle_sets(pa.RecordBatch.from_pydict({"text": [" ".join(words)]})))[1]
+
+    def shape(words):
+        return len(jaccard.partitions(sets(words), 2)[0])
+
+    def make(k):
+        return [f"w{rnd.randrange(10 ** 9)}" for _ in range(k)]
+
+    while True:
+        x = make(11)
+        y = x[:10] + make(1)
+        if shape(x) == shape(y) == 2 and not np.isin(*(jaccard.signatures_of(sets(t))[0] for t in (x, y))).any():
+            break
+    rows = [(9000, " ".join(x)), (9001, " ".join(y))]
+    for run in range(6):
+        while len(rows) < 2 + 6 * (run + 1):
+            quote = make(3) + x[run:run + 5] + make(3)
+            if shape(quote) <= 2:
+                rows.append((len(rows), " ".join(quote)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs_of(rows).coalesce(1)).collect()}
+    assert got == classes_brute(rows)
+    assert got[9001][1] == 9000
