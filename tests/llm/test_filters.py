@@ -5,6 +5,7 @@ import hashlib
 import json
 import random
 import re
+import textwrap
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +146,35 @@ def test_licences(docs_of):
     assert [g[3] for g in got[2:]] == [gpl, gpl]
 
 
+def wrapped(text, width):
+    return "".join(f"# {line}\n" for line in textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+def test_wrapped_licences_are_read_whole(docs_of):
+    """Notices over many lines, with all words, and those that differ in one clause."""
+    gpl = ("This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public "
+           "License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any "
+           "later version.")
+    names = ["MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "LGPL-2.1-only",
+             "Apache-2.0"]
+    rows = [f"Foo.\n{gpl}\nint main() {{ return 1; }}\n"] + [
+        f"# Copyright (c) 2020 Foo\n#\n{wrapped(licenses.TEMPLATES[name][-1], width)}import os\n" for name in names
+        for width in (40, 76)]
+    got = {}
+    for r in licenses.notices(docs_of(rows)).collect():
+        got.setdefault(r.doc_id, []).append((r.license, r.missing, r.added))
+    assert got == {0: [("GPL-3.0-or-later", [], [])]} | {
+        1 + 2 * i + j: [(name, [], [])] for i, name in enumerate(names) for j in (0, 1)}
+    (row,) = [r for r in licenses.notices(docs_of(rows[:1])).collect()]
+    assert rows[0][row.start:row.end] == gpl
+
+
+def test_numbers_of_clauses_are_not_versions():
+    assert licenses.words("met:\n# 1. Redistributions. 2. Others") == ["met", "redistributions", "others"]
+    assert licenses.words("Version 2.0. See version\n3. Or v. 2. End") == ["version", "2.0", "see", "version", "3", "or", "v",
+                                                                         "2", "end"]
+
+
 # --- URLs -------------------------------------------------------------------
 
 PAGES = [
