@@ -24,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def whole(df: DataFrame) -> DataFrame:
-    """(doc_id, text) of every row, NULL texts as empty ones."""
-    return df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+def whole(df: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, text) and the columns ``keep`` of every row, NULL texts as empty ones."""
+    return df.select("doc_id", *keep, F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
 def crc_part(column: str | Column, parts: int) -> Column:
@@ -59,13 +59,12 @@ def tasks_for(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), size >> 24 if size < 1 << 60 else 0)
 
 
-
 FEW = 4 << 20  # rows of one or two numbers that are sent to every task, at most; larger tables are shuffled
 
 
-def small(rows: DataFrame) -> DataFrame:
+def small(rows: DataFrame, most: int = FEW) -> DataFrame:
     """Marks a narrow table for broadcasting if it is counted and found small; else leaves it to a shuffle."""
-    return F.broadcast(rows) if rows.limit(FEW + 1).count() <= FEW else rows
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows
 
 
 def only(df: DataFrame, ids: DataFrame) -> DataFrame:
