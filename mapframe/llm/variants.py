@@ -22,7 +22,8 @@ RUN = "[A-Za-zÀ-ÿ]+"
 DAMAGED = 97
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 TIMES = 2  # a form is so many times as frequent
-CELL = 1 << 20  # characters of a cell's words, about
+CELL = 1 << 19  # characters of a cell's words, about
+ASKED = 1 << 12  # words that are searched at a time
 
 
 def damaged(doc_id: Column, run: Column) -> Column:
@@ -226,8 +227,7 @@ def near_in_cell(cell: pa.Table) -> pa.Table:
     indexed = indexed.sort_by([("n_max", "descending"), ("word", "ascending")]).combine_chunks()
     names, n = indexed.column("word"), indexed.column("n_max").to_numpy()
     asked = cell.filter(cell.column("asked")).combine_chunks()
-    asked_names = pc.unique(asked.column("word")).combine_chunks() if isinstance(
-        pc.unique(asked.column("word")), pa.ChunkedArray) else pc.unique(asked.column("word"))
+    asked_names = pc.unique(asked.column("word"))
     none = pa.schema([("word", pa.string()), ("n_near", pa.int64()), ("top_n", pa.int64()), ("top", pa.string())])
     if not len(names) or not len(asked_names):
         return none.empty_table()
@@ -239,15 +239,17 @@ def near_in_cell(cell: pa.Table) -> pa.Table:
     for forward in (True, False):
         which = np.flatnonzero(first == forward)
         one, two = (known.backwards(), words.backwards()) if forward else (known, words)
-        queries, half = two.take(number[which]), m[which] // 2
-        exact = half if forward else m[which] - half
-        q, found = one_error(Index(one, codes), queries, exact, queries.size < m[which])
-        if not forward:
-            rest = ~_same_start(queries, q, one, found, half[q])
-            q, found = q[rest], found[rest]
-        who.append(number[which][q])
-        other.append(found)
-    who, other = np.concatenate(who), np.concatenate(other)
+        index = Index(one, codes)
+        for at in range(0, len(which), ASKED):
+            block = which[at:at + ASKED]
+            queries, half = two.take(number[block]), m[block] // 2
+            q, found = one_error(index, queries, half if forward else m[block] - half, queries.size < m[block])
+            if not forward:
+                rest = ~_same_start(queries, q, one, found, half[q])
+                q, found = q[rest], found[rest]
+            who.append(number[block][q])
+            other.append(found)
+    who, other = np.concatenate([np.zeros(0, np.int64), *who]), np.concatenate([np.zeros(0, np.int64), *other])
     order = np.lexsort((other, who))
     who, other = who[order], other[order]
     new = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, np.int64)
