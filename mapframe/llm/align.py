@@ -9,6 +9,7 @@ slices in one join.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -23,33 +24,113 @@ from pyspark.sql import functions as F
 from . import textkit
 from .common import whole, written
 
-SLICE = 2 << 20  # bytes of text that are aligned and counted together; a longer text is a slice of its own
+SLICE = 1 << 20  # bytes of text that are aligned and counted together; a longer text is a slice of its own
+
+
+SAFE = np.zeros(256, bool)  # printable ASCII but the space: neither side has a token from such a byte into a space
+SAFE[0x21:0x7F] = True
+JOINED = 1 << 13  # bytes of distinct chunks that are tokenized in one go, about
 
 
 @dataclass
 class Side:
-    """A tokenizer: ids of each text, and the bytes of each id laid end to end."""
+    """A tokenizer: ids of texts that begin with a space, and the bytes of each id laid end to end.
+
+    ``cuttable``: the text may be cut before a space that follows a printable character; no token, and no rule of the
+    tokenizer, reaches over such a place.
+    """
 
     encode: Callable[[list[str]], list[list[int]]]
+    cuttable: bool
     data: np.ndarray
     start: np.ndarray
     size: np.ndarray
 
     @classmethod
-    def of(cls, encode, tokens: list[bytes]) -> Side:
+    def of(cls, encode, cuttable: bool, tokens: list[bytes]) -> Side:
         size = np.array([len(t) for t in tokens], np.int64)
-        return cls(encode, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size)
+        return cls(encode, cuttable, np.frombuffer(b"".join(tokens), np.uint8), np.cumsum(size) - size, size)
 
     def bytes_of(self, ids: np.ndarray) -> np.ndarray:
         size = self.size[ids]
         ends = np.cumsum(size)
         return self.data[np.repeat(self.start[ids] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)]
 
+    def encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts end to end, and how many each has."""
+        lists = self.encode(texts)
+        count = np.array([len(x) for x in lists], np.int64)
+        return np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())), count
+
+    def tokens(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each text has, whether their bytes are the text's) of the texts that begin at ``begins``.
+
+        Words repeat, so texts are cut into chunks and each distinct chunk of a slice is tokenized once.
+        """
+        edge = np.zeros(len(raw) + 1, bool)
+        edge[begins] = edge[-1] = True
+        if self.cuttable:
+            latin = np.append(False, (raw[:-1] == 0xC3) & (raw[1:] >= 0x80))  # second byte of a letter of Latin-1
+            edge[1:-1] |= (raw[1:] == 0x20) & (SAFE[raw[:-1]] | latin[:-1]) & ~edge[2:]  # a space that ends a text stays
+        cuts = np.flatnonzero(edge)
+        chunks = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
+        coded = chunks.dictionary_encode()
+        which, distinct = coded.indices.to_numpy(), coded.dictionary
+        ids, count, right = self._distinct(distinct)
+        first = np.cumsum(count) - count
+        of_text = np.searchsorted(cuts, begins)
+        size = count[which]
+        ends = np.cumsum(size)
+        spread = ids[np.repeat(first[which] - ends + size, size) + np.arange(int(size.sum()))]
+        return spread, np.add.reduceat(size, of_text), np.logical_and.reduceat(right[which], of_text)
+
+    def _distinct(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, how many each chunk has, whether their bytes are the chunk's).
+
+        Chunks that end as they are cut are joined; the rest, and what does not come out byte by byte, goes one by one.
+        """
+        data, offsets = textkit.buffers(chunks)
+        n, size = len(chunks), np.diff(offsets)
+        last, before = data[offsets[1:] - 1], data[np.maximum(offsets[1:] - 2, 0)]
+        joined = np.flatnonzero(SAFE[last] | (last >= 0x80) & (before == 0xC3) & (size > 1)) if self.cuttable \
+            else np.zeros(0, np.int64)
+        number = np.cumsum(size[joined]) // JOINED
+        groups = np.split(joined, np.flatnonzero(np.diff(number)) + 1) if len(joined) else []
+        texts = [data[np.repeat(offsets[g] - np.cumsum(size[g]) + size[g], size[g]) + np.arange(int(size[g].sum()))].tobytes().decode()
+                 for g in groups]
+        count, right, parts, alone = np.zeros(n, np.int64), np.ones(n, bool), [], [np.setdiff1d(np.arange(n), joined)]
+        order = []
+        if groups:
+            ids, each = self.encoded(texts)
+            for g, found in zip(groups, np.split(ids, np.cumsum(each)[:-1])):
+                token_ends, chunk_ends = np.cumsum(self.size[found]), np.cumsum(size[g])
+                at = np.searchsorted(token_ends, chunk_ends)
+                if len(token_ends) and token_ends[-1] == chunk_ends[-1] and (token_ends[at] == chunk_ends).all() and (
+                        self.bytes_of(found) == data[np.repeat(offsets[g] - chunk_ends + size[g], size[g])
+                                                     + np.arange(chunk_ends[-1])]).all():
+                    count[g] = np.diff(at, prepend=-1)
+                    parts.append(found)
+                    order.append(g)
+                else:
+                    alone.append(g)
+        alone = np.concatenate(alone)
+        if len(alone):
+            ids, each = self.encoded(chunks.take(pa.array(alone)).to_pylist())
+            count[alone] = each
+            for i, found in zip(alone.tolist(), np.split(ids, np.cumsum(each)[:-1])):
+                right[i] = self.bytes_of(found).tobytes() == data[offsets[i]:offsets[i + 1]].tobytes()
+            parts.append(ids)
+            order.append(alone)
+        ids, order = np.concatenate(parts), np.concatenate(order)
+        moved = np.empty(n, np.int64)
+        given = np.cumsum(count[order]) - count[order]
+        moved[order] = given
+        ends = np.cumsum(count)
+        return ids[np.repeat(moved - ends + count, count) + np.arange(int(count.sum()))], count, right
 
-def byte_level(code: bytes) -> Side:
-    """From the JSON of a byte-level BPE; every text is encoded with a space before it, special tokens as plain text."""
-    import json
 
+def byte_level(code: bytes) -> Side:
+    """From the JSON of a byte-level BPE; special tokens in a text are plain text."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_str(code.decode())
@@ -58,17 +139,19 @@ def byte_level(code: bytes) -> Side:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-    vocabulary = json.loads(code)["model"]["vocab"]
+    said = json.loads(code)
     tokens = [b""] * tokenizer.get_vocab_size()
-    for token, number in vocabulary.items():
+    for token, number in said["model"]["vocab"].items():
         if all(c in byte for c in token):
             tokens[number] = bytes(byte[c] for c in token)
+    split = said.get("pre_tokenizer") or {}
+    cuttable = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) \
+        and not split.get("add_prefix_space")
 
     def encode(texts: list[str]) -> list[list[int]]:
-        found = tokenizer.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)
-        return [e.ids for e in found]
+        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    return Side.of(encode, tokens)
+    return Side.of(encode, cuttable, tokens)
 
 
 def pieces(code: bytes) -> Side:
@@ -76,11 +159,12 @@ def pieces(code: bytes) -> Side:
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=code)
-    tokens = []
+    tokens, cuttable = [], model.normalize("x \ufb01  y ") == "▁x▁\ufb01▁▁y▁"
     for number in range(model.get_piece_size()):
         piece = model.id_to_piece(number)
         tokens.append(bytes([int(piece[3:5], 16)]) if model.is_byte(number) else piece.replace("▁", " ").encode())
-    return Side.of(lambda texts: model.encode(texts, num_threads=1), tokens)
+        cuttable &= "▁" not in piece.lstrip("▁")
+    return Side.of(lambda texts: model.encode([t[1:] for t in texts], num_threads=1), cuttable, tokens)
 
 
 def overlaps(a_at: np.ndarray, a_doc: np.ndarray, b_at: np.ndarray, b_doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,19 +227,13 @@ def align(texts: list[str], one: Side, two: Side) -> dict:
     """Counts and digests of each text, and the distinct pairs of ids with how often each text links them."""
     n = len(texts)
     raw = [(" " + t).encode() for t in texts]
-    sides = []
+    size = np.array([len(r) for r in raw], np.int64)
+    raw = np.frombuffer(b"".join(raw), np.uint8)
+    good, sides = size > 1, []
     for side in (one, two):
-        lists = side.encode(texts)
-        count = np.array([len(x) for x in lists], np.int64)
-        sides.append((side, np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())), count))
-        del lists
-    good = np.array([len(r) > 1 for r in raw], bool)
-    for side, ids, count in sides:
-        data, ends = side.bytes_of(ids), np.cumsum(side.size[ids])
-        stop = np.cumsum(count)
-        stop = np.where(stop > 0, ends[stop - 1], 0) if len(ends) else stop
-        start = np.append(0, stop[:-1])
-        good &= np.array([data[s:e].tobytes() == r for s, e, r in zip(start.tolist(), stop.tolist(), raw)], bool)
+        ids, count, right = side.tokens(raw, np.cumsum(size) - size)
+        good &= right
+        sides.append((side, ids, count))
     found = []
     for side, ids, count in sides:
         kept = np.repeat(good, count)

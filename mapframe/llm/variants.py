@@ -23,6 +23,7 @@ DAMAGED = 97
 LEAST_LENGTH, LEAST_COUNT = 5, 3
 TIMES = 2  # a form is so many times as frequent
 CELL = 1 << 19  # characters of a cell's words, about
+FEW_FORMS = 1 << 18  # words with a form that are sent to every task, at most; more are joined by a shuffle
 ASKED = 1 << 12  # words that are searched at a time
 
 
@@ -272,7 +273,7 @@ def roots(forms: DataFrame) -> DataFrame:
     counts double, so there are at most six rounds."""
     found = written(forms.select("word", F.col("form").alias("root")))
     while True:
-        on = small(found.select(F.col("word").alias("_word"), F.col("root").alias("_root")))
+        on = small(found.select(F.col("word").alias("_word"), F.col("root").alias("_root")), FEW_FORMS)
         found = written(found.join(on, F.col("root") == F.col("_word"), "left").select(
             "word", F.coalesce("_root", "root").alias("root"), F.col("_root").isNotNull().alias("moved")))
         if found.where("moved").isEmpty():
