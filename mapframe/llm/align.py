@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -29,6 +30,9 @@ SLICE = 1 << 20  # bytes of text that are aligned and counted together; a longer
 
 SAFE = np.zeros(256, bool)  # printable ASCII but the space: neither side has a token from such a byte into a space
 SAFE[0x21:0x7F] = True
+#: How byte-level BPE splits a text before it merges, and characters about which all versions of Unicode agree.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SETTLED = re.compile("[\t\n\r -~À-ÿ]*")
 JOINED = 1 << 13  # bytes of distinct chunks that are tokenized in one go, about
 
 
@@ -62,29 +66,7 @@ class Side:
         count = np.array([len(x) for x in lists], np.int64)
         return np.fromiter(chain.from_iterable(lists), np.int64, int(count.sum())), count
 
-    def tokens(self, raw: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, how many each text has, whether their bytes are the text's) of the texts that begin at ``begins``.
-
-        Words repeat, so texts are cut into chunks and each distinct chunk of a slice is tokenized once.
-        """
-        edge = np.zeros(len(raw) + 1, bool)
-        edge[begins] = edge[-1] = True
-        if self.cuttable:
-            latin = np.append(False, (raw[:-1] == 0xC3) & (raw[1:] >= 0x80))  # second byte of a letter of Latin-1
-            edge[1:-1] |= (raw[1:] == 0x20) & (SAFE[raw[:-1]] | latin[:-1]) & ~edge[2:]  # a space that ends a text stays
-        cuts = np.flatnonzero(edge)
-        chunks = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
-        coded = chunks.dictionary_encode()
-        which, distinct = coded.indices.to_numpy(), coded.dictionary
-        ids, count, right = self._distinct(distinct)
-        first = np.cumsum(count) - count
-        of_text = np.searchsorted(cuts, begins)
-        size = count[which]
-        ends = np.cumsum(size)
-        spread = ids[np.repeat(first[which] - ends + size, size) + np.arange(int(size.sum()))]
-        return spread, np.add.reduceat(size, of_text), np.logical_and.reduceat(right[which], of_text)
-
-    def _distinct(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def chunks(self, chunks: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, how many each chunk has, whether their bytes are the chunk's).
 
         Chunks that end as they are cut are joined; the rest, and what does not come out byte by byte, goes one by one.
@@ -129,27 +111,68 @@ class Side:
         return ids[np.repeat(moved - ends + count, count) + np.arange(int(count.sum()))], count, right
 
 
+def tokens(sides: tuple[Side, ...], raw: np.ndarray, begins: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each side (ids, how many each text has, whether their bytes are the text's); texts begin at ``begins``.
+
+    Words repeat, so texts are cut into chunks and each distinct chunk is tokenized once.
+    """
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[begins] = edge[-1] = True
+    if all(side.cuttable for side in sides):
+        latin = np.append(False, (raw[:-1] == 0xC3) & (raw[1:] >= 0x80))  # second byte of a letter of Latin-1
+        edge[1:-1] |= (raw[1:] == 0x20) & (SAFE[raw[:-1]] | latin[:-1]) & ~edge[2:]  # a space that ends a text stays
+    cuts = np.flatnonzero(edge)
+    chunks = pa.Array.from_buffers(pa.string(), len(cuts) - 1, [None, pa.py_buffer(cuts.astype(np.int32)), pa.py_buffer(raw)])
+    coded = chunks.dictionary_encode()
+    which, of_text, out = coded.indices.to_numpy(), np.searchsorted(cuts, begins), []
+    for side in sides:
+        ids, count, right = side.chunks(coded.dictionary)
+        first, size = np.cumsum(count) - count, count[which]
+        ends = np.cumsum(size)
+        spread = ids[np.repeat(first[which] - ends + size, size) + np.arange(int(size.sum()))]
+        out.append((spread, np.add.reduceat(size, of_text), np.logical_and.reduceat(right[which], of_text)))
+    return out
+
+
 def byte_level(code: bytes) -> Side:
-    """From the JSON of a byte-level BPE; special tokens in a text are plain text."""
+    """From the JSON of a byte-level BPE; special tokens in a text are plain text.
+
+    If ids are ranks (each merge makes the next id), texts of settled characters are encoded by the faster of two
+    public libraries, which then gives the same ids (tested); all others by the one that reads the JSON.
+    """
+    import tiktoken
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_str(code.decode())
-    tokenizer.encode_special_tokens = True
     # Byte-level vocabularies write a byte that is printable in Latin-1 as itself, the others as U+0100 and up.
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in set(plain)]
     byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
     said = json.loads(code)
-    tokens = [b""] * tokenizer.get_vocab_size()
-    for token, number in said["model"]["vocab"].items():
-        if all(c in byte for c in token):
+    vocabulary, special = said["model"]["vocab"], {t["content"] for t in said.get("added_tokens") or []}
+    tokens = [b""] * (max([*vocabulary.values(), *(t["id"] for t in said.get("added_tokens") or [])], default=-1) + 1)
+    for token, number in vocabulary.items():
+        if token not in special:
             tokens[number] = bytes(byte[c] for c in token)
     split = said.get("pre_tokenizer") or {}
     cuttable = said.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex", True) \
         and not split.get("add_prefix_space")
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in said["model"]["merges"]]
+    ranked = [vocabulary[m] for m in merged]
+    quick, slow = None, []
+    if cuttable and ranked == sorted(set(ranked)) and len(vocabulary) - len(special & set(vocabulary)) == len(ranked) + 256:
+        ranks = {tokens[n]: n for t, n in vocabulary.items() if t not in special}
+        quick = tiktoken.Encoding("byte_level", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
     def encode(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        found = [quick.encode_ordinary(t) if quick and SETTLED.fullmatch(t) else None for t in texts]
+        rest = [i for i, ids in enumerate(found) if ids is None]
+        if rest:
+            if not slow:
+                slow.append(Tokenizer.from_str(code.decode()))
+                slow[0].encode_special_tokens = True
+            for i, e in zip(rest, slow[0].encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
+                found[i] = e.ids
+        return found
 
     return Side.of(encode, cuttable, tokens)
 
@@ -223,19 +246,17 @@ def group_digests(a: np.ndarray, a_group: np.ndarray, b: np.ndarray, b_group: np
     return digests
 
 
-def align(texts: list[str], one: Side, two: Side) -> dict:
+def align(texts: list[str], sides: tuple[Side, Side]) -> dict:
     """Counts and digests of each text, and the distinct pairs of ids with how often each text links them."""
     n = len(texts)
     raw = [(" " + t).encode() for t in texts]
     size = np.array([len(r) for r in raw], np.int64)
     raw = np.frombuffer(b"".join(raw), np.uint8)
-    good, sides = size > 1, []
-    for side in (one, two):
-        ids, count, right = side.tokens(raw, np.cumsum(size) - size)
+    good, sided = size > 1, tokens(sides, raw, np.cumsum(size) - size)
+    for _, _, right in sided:
         good &= right
-        sides.append((side, ids, count))
     found = []
-    for side, ids, count in sides:
+    for side, (ids, count, _) in zip(sides, sided):
         kept = np.repeat(good, count)
         ids, doc = ids[kept], np.repeat(np.arange(n), count)[kept]
         size = side.size[ids]
@@ -243,9 +264,11 @@ def align(texts: list[str], one: Side, two: Side) -> dict:
         found.append((ids, doc, end - size, end))
     (a, a_doc, a_at, a_end), (b, b_doc, b_at, b_end) = found
     left, right = overlaps(a_at, a_doc, b_at, b_doc)
-    ends = np.intersect1d(a_end, b_end, assume_unique=True)
-    a_group, b_group = np.searchsorted(ends, a_end), np.searchsorted(ends, b_end)
-    group_doc = a_doc[np.searchsorted(a_end, ends)]
+    in_a, in_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+    in_a[a_end], in_b[b_end] = True, True
+    a_last, b_last = in_b[a_end], in_a[b_end]  # tokens that end a group
+    a_group, b_group = np.cumsum(a_last) - a_last, np.cumsum(b_last) - b_last
+    group_doc = a_doc[a_last]
     pairs, which, times = np.unique((b[right] << 32) | a[left], return_inverse=True, return_counts=True)
     in_doc, n_in_doc = np.unique(a_doc[left] * max(1, len(pairs)) + which, return_counts=True)
     doc, pair = in_doc // max(1, len(pairs)), in_doc % max(1, len(pairs))
@@ -263,11 +286,11 @@ LISTS = "a array<int>, b array<int>, times array<int>, pair array<int>, n_pair a
 def aligned_slices(docs: DataFrame, sides: Callable[[], tuple[Side, Side]]) -> DataFrame:
     """One row for each slice of a batch: the fields of ``align`` as arrays, with the ids of its documents."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one, two = sides()
+        both = sides()
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for part in textkit.slices(batch, "text", SLICE):
-                found = align(part.column("text").to_pylist(), one, two)
+                found = align(part.column("text").to_pylist(), both)
                 row = {"slice": [number], "doc_id": [part.column("doc_id").to_pylist()]}
                 for name, values in found.items():
                     kind = pa.string() if name == "groups_sha256" else pa.int64() if name.startswith("n_") and \

@@ -95,3 +95,15 @@ def test_very_long_text(docs_of, files):
     text = "The quick brown fox, jumping. " * 20_000
     row = align.aligned(docs_of([text]), *files).first()
     assert row.n_a > 100_000 and row.n_links >= max(row.n_a, row.n_b) and row.n_groups <= min(row.n_a, row.n_b)
+
+
+def test_quick_encoding_is_that_of_the_json(files):
+    """Texts of settled characters take another library; ids must be the same."""
+    from tokenizers import Tokenizer
+
+    slow, side, rng = Tokenizer.from_str(files[0].decode()), align.byte_level(files[0]), random.Random(5)
+    signs = [chr(c) for c in range(32, 127)] + [chr(c) for c in range(0xC0, 0x100)] + list("  \n\n\t\r''")
+    texts = [" " + "".join(rng.choice(signs) for _ in range(rng.randint(0, 80))) for _ in range(3000)]
+    texts += [" don't they'll I'VE it's 's 're\n\n  x", " " * 50 + "\n" * 9 + "x", " 1234567890 ½²"]
+    assert side.encode(texts) == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
+    assert all(align.SETTLED.fullmatch(t) for t in texts[:3000])
