@@ -7,9 +7,12 @@ two levels.  A pair that shares several cells is kept only in the cell that
 holds the lower corner of the overlap, so nothing is shuffled to remove
 duplicates.
 
-The smaller side is broadcast only when its measured size is below a limit.
-Otherwise both sides are shuffled on the cell, and cells that hold a large share
-of the bigger side are split by a salt.
+The smaller side is broadcast only when its measured size is below a limit; then
+the other side is not shuffled at all.  Otherwise ids and boxes alone are staged
+and meet on the cell, and attributes and geometries are fetched once, by id, for
+the pairs that survive.  A cell with more rows than ``CROWD`` on either side is
+cut into blocks of both sides, each pair of blocks a group of its own, so no
+group grows with the data.
 """
 
 from __future__ import annotations
@@ -22,11 +25,13 @@ from pyspark.sql import functions as F
 from ..errors import BadRequest
 from ..functions import spatial
 from ..functions.spatial import BBOX
+from ..session import staged
 from .profile import FID, with_bounds
 
 FINEST, COARSEST = -20, 40   # powers of two of the cell size
 BROADCAST_BYTES = 64 << 20   # largest side sent to every executor
-SHARES = 1024                # a cell with more than 1/SHARES of a side is split
+CROWD = 50_000               # rows of one side that meet in one group, about
+FEW_CELLS = 1 << 20          # crowded cells that are sent to every executor, at most
 
 
 @dataclass(frozen=True)
@@ -70,25 +75,39 @@ def _measure(df: DataFrame, geom: str, d: float) -> _Side:
     return _Side(row.n, row["size"] or 0, sorted(row.levels), bool(row.points))
 
 
-def _cells(df: DataFrame, other_levels: list[int], d: float, tag: str) -> DataFrame:
-    """One row per (level, cell) of a feature; columns get the side's prefix."""
-    low_x, low_y = F.col(BBOX[0]) - d, F.col(BBOX[1]) - d
-    high_x, high_y = F.col(BBOX[2]) + d, F.col(BBOX[3]) + d
+def _listed(other_levels: list[int], d: float) -> Column:
     own = _level(d)
-    listed = F.array_distinct(F.concat(
+    return F.array_distinct(F.concat(
         F.array(own), F.filter(F.array(*[F.lit(v) for v in other_levels]), lambda v: v > own)))
-    prefixed = df.select(*[F.col(f"`{c}`").alias(f"{tag}__{c}") for c in df.columns], own.alias(f"{tag}_own"),
-                         low_x.alias(f"{tag}_x0"), low_y.alias(f"{tag}_y0"),
-                         high_x.alias(f"{tag}_x1"), high_y.alias(f"{tag}_y1"),
-                         F.explode(listed).alias("level"))
 
+
+def _in_cells(listed: DataFrame, tag: str) -> DataFrame:
+    """One row per cell of a row with ``level`` and the grown box."""
     def span(low, high):
         return F.sequence(cell_of(F.col(low), F.col("level")), cell_of(F.col(high), F.col("level")))
 
-    return (prefixed.withColumn("cx", F.explode(span(f"{tag}_x0", f"{tag}_x1")))
+    return (listed.withColumn("cx", F.explode(span(f"{tag}_x0", f"{tag}_x1")))
             .withColumn("cy", F.explode(span(f"{tag}_y0", f"{tag}_y1"))))
 
 
+def _grown(d: float, tag: str) -> list[Column]:
+    return [(F.col(BBOX[0]) - d).alias(f"{tag}_x0"), (F.col(BBOX[1]) - d).alias(f"{tag}_y0"),
+            (F.col(BBOX[2]) + d).alias(f"{tag}_x1"), (F.col(BBOX[3]) + d).alias(f"{tag}_y1")]
+
+
+def _cells(df: DataFrame, other_levels: list[int], d: float, tag: str) -> DataFrame:
+    """One row per (level, cell) of a feature; columns get the side's prefix."""
+    return _in_cells(df.select(*[F.col(f"`{c}`").alias(f"{tag}__{c}") for c in df.columns], _level(d).alias(f"{tag}_own"),
+                               *_grown(d, tag), F.explode(_listed(other_levels, d)).alias("level")), tag)
+
+
+def _narrow_cells(df: DataFrame, other_levels: list[int], d: float, tag: str) -> DataFrame:
+    """The same with nothing but the id; the staged rows are what both counts and join read."""
+    ids = staged(df.select(F.col(FID).alias(f"{tag}_id"), _level(d).alias(f"{tag}_own"), *_grown(d, tag),
+                           _listed(other_levels, d).alias("levels")))
+    return _in_cells(ids.select(*[c for c in ids.columns if c != "levels"], F.explode("levels").alias("level")), tag)
+
+
 def _of(tag: str, name: str) -> Column:
     return F.col(f"`{tag}__{name}`")
 
@@ -97,53 +116,61 @@ def cell_of(v: Column, level: Column) -> Column:
     return F.floor(v / F.pow(F.lit(2.0), level.cast("double")))
 
 
-def _salted(big: DataFrame, small: DataFrame, big_tag: str) -> tuple[DataFrame, DataFrame]:
-    """Split crowded cells of the bigger side; copy the other side's rows there.
-
-    At most SHARES cells can hold more than 1/SHARES of the rows, which bounds
-    what is broadcast.
-    """
-    counts = big.groupBy("level", "cx", "cy").agg(F.count(F.lit(1)).alias("cell_rows"))
-    share = F.ceil(counts.select(F.sum("cell_rows")).scalar() / F.lit(SHARES))
-    crowded = F.broadcast(counts.where(F.col("cell_rows") > share).select(
-        "level", "cx", "cy", F.ceil(F.col("cell_rows") / share).cast("int").alias("splits")))
+def _blocks(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides with the keys they meet on: the cell, and a block of either side if the cell is crowded."""
     keys = ["level", "cx", "cy"]
-    splits = F.coalesce(F.col("splits"), F.lit(1))
-    big = (big.join(crowded, keys, "left")
-           .withColumn("salt", F.pmod(F.xxhash64(_of(big_tag, FID)), splits).cast("int")).drop("splits"))
-    small = (small.join(crowded, keys, "left")
-             .withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1))).drop("splits"))
-    return big, small
+    counts = [side.groupBy(*keys).agg(F.count(F.lit(1)).alias(n)) for side, n in ((left, "l_rows"), (right, "r_rows"))]
+    crowded = staged(counts[0].join(counts[1], keys).where(f"l_rows > {CROWD} OR r_rows > {CROWD}").select(
+        *keys, *[F.ceil(F.col(n) / CROWD).cast("int").alias(parts) for n, parts in (("l_rows", "l_parts"), ("r_rows", "r_parts"))]))
+    some = crowded.limit(FEW_CELLS + 1).count()
+    if not some:
+        return left, right, keys
+    crowded = F.broadcast(crowded) if some <= FEW_CELLS else crowded
+    out = []
+    for side, own, other in ((left, "l", "r"), (right, "r", "l")):
+        mine, theirs = (F.coalesce(f"{tag}_parts", F.lit(1)) for tag in (own, other))
+        side = side.join(crowded, keys, "left").withColumn(f"{own}_block", F.pmod(F.xxhash64(f"{own}_id"), mine).cast("int"))
+        out.append(side.withColumn(f"{other}_block", F.explode(F.sequence(F.lit(0), theirs - 1))).drop("l_parts", "r_parts"))
+    return out[0], out[1], [*keys, "l_block", "r_block"]
+
+
+def _meeting() -> Column:
+    """Overlapping boxes, in the one cell that reports them."""
+    met = F.col("level") == F.greatest("l_own", "r_own")
+    overlap = ((F.col("l_x1") >= F.col("r_x0")) & (F.col("l_x0") <= F.col("r_x1"))
+               & (F.col("l_y1") >= F.col("r_y0")) & (F.col("l_y0") <= F.col("r_y1")))
+    corner = ((F.col("cx") == cell_of(F.greatest("l_x0", "r_x0"), F.col("level")))
+              & (F.col("cy") == cell_of(F.greatest("l_y0", "r_y0"), F.col("level"))))
+    return met & overlap & corner
 
 
 def candidate_pairs(left: DataFrame, right: DataFrame, left_geom="geometry", right_geom="geometry",
-                    distance: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES):
-    """Pairs whose boxes, grown by ``distance``, overlap; each pair once, columns ``l__*`` and ``r__*``."""
+                    distance: float = 0.0, broadcast_bytes: int = BROADCAST_BYTES, columns: tuple = (None, None)):
+    """Pairs whose boxes, grown by ``distance``, overlap; each pair once, columns ``l__*`` and ``r__*``.
+
+    ``columns``: those of either side that are wanted, all by default.
+    """
     left, right = _ready(left, left_geom, "left"), _ready(right, right_geom, "right")
     a, b = _measure(left, left_geom, distance), _measure(right, right_geom, 0.0)
-    l_cells = _cells(left, b.levels or [COARSEST], distance, "l")
-    r_cells = _cells(right, a.levels or [COARSEST], 0.0, "r")
-    keys = ["level", "cx", "cy"]
     # every feature is listed at most 4 times per level
     copies_l, copies_r = 4 * (1 + len(b.levels)), 4 * (1 + len(a.levels))
+    wanted = [side.select(*[f"`{c}`" for c in names or side.columns]) for side, names in zip((left, right), columns)]
+    l_levels, r_levels = b.levels or [COARSEST], a.levels or [COARSEST]
     if min(a.size * copies_l, b.size * copies_r) <= broadcast_bytes:
+        l_cells, r_cells = _cells(wanted[0], l_levels, distance, "l"), _cells(wanted[1], r_levels, 0.0, "r")
         if a.size * copies_l < b.size * copies_r:
             l_cells = F.broadcast(l_cells)
         else:
             r_cells = F.broadcast(r_cells)
+        pairs = l_cells.join(r_cells, ["level", "cx", "cy"]).where(_meeting())
     else:
-        if a.rows >= b.rows:
-            l_cells, r_cells = _salted(l_cells, r_cells, "l")
-        else:
-            r_cells, l_cells = _salted(r_cells, l_cells, "r")
-        keys = [*keys, "salt"]
-    pairs = l_cells.join(r_cells, keys)
-    met = F.col("level") == F.greatest("l_own", "r_own")
-    overlap = ((F.col("l_x1") >= F.col("r_x0")) & (F.col("l_x0") <= F.col("r_x1"))
-               & (F.col("l_y1") >= F.col("r_y0")) & (F.col("l_y0") <= F.col("r_y1")))
-    corner = ((F.col("cx") == cell_of(F.greatest("l_x0", "r_x0"), F.col("level")))
-              & (F.col("cy") == cell_of(F.greatest("l_y0", "r_y0"), F.col("level"))))
-    return pairs.where(met & overlap & corner), a.points, b.points
+        l_cells, r_cells, keys = _blocks(_narrow_cells(left, l_levels, distance, "l"),
+                                         _narrow_cells(right, r_levels, 0.0, "r"))
+        pairs = l_cells.join(r_cells, keys).where(_meeting()).select("l_id", "r_id")
+        for side, tag in zip(wanted, "lr"):
+            side = side.select(*[F.col(f"`{c}`").alias(f"{tag}__{c}") for c in side.columns])
+            pairs = pairs.join(side, F.col(f"{tag}_id") == _of(tag, FID))
+    return pairs, a.points, b.points
 
 
 def _exact(predicate, distance, l_geom, r_geom, l_points, r_points) -> Column | None:
@@ -172,27 +199,37 @@ def spatial_join(left: DataFrame, right: DataFrame, predicate: str = "intersects
         raise BadRequest("distance goes with the distance predicate")
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise BadRequest(f"Unsupported join type: {how}")
-    if how in ("left_semi", "left_anti"):  # the right side serves as a filter only
-        right = right.select(right_geom, *[c for c in (FID, *BBOX) if c in right.columns])
+    l_columns, r_columns = left.columns, right.columns
+    left, right = (side if all(c in side.columns for c in BBOX) else with_bounds(side, geom)
+                   for side, geom in ((left, left_geom), (right, right_geom)))
+    columns = (None, None) if how == "inner" else ([FID, left_geom, *BBOX], [FID, right_geom, *BBOX])
     pairs, l_points, r_points = candidate_pairs(
-        left, right, left_geom, right_geom, distance or 0.0, broadcast_bytes)
+        left, right, left_geom, right_geom, distance or 0.0, broadcast_bytes, columns)
     test = _exact(predicate, distance, left_geom, right_geom, l_points, r_points)
     if test is not None:
         pairs = pairs.where(test)
 
-    taken = {c.lower() for c in left.columns}
-    r_names = {c: c + suffix if c.lower() in taken else c for c in right.columns}
-    matched = pairs.select(*[_of("l", c).alias(c) for c in left.columns],
-                           *[_of("r", c).alias(n) for c, n in r_names.items()])
+    taken = {c.lower() for c in l_columns}
+    r_names = {c: c + suffix if c.lower() in taken else c for c in r_columns}
+    def out(rows):
+        return rows.select(*[_of("l", c).alias(c) for c in l_columns], *[_of("r", c).alias(n) for c, n in r_names.items()])
+
     if how == "inner":
-        return matched
+        return out(pairs)
     # distinct ids: a left feature with very many partners stays one row
-    ids = pairs.select(_of("l", FID).alias(FID)).distinct()
+    ids = pairs.select(_of("l", FID).alias(FID))
     if how == "left_semi":
-        return left.join(ids, FID, "left_semi").select(*left.columns)
-    unmatched = left.join(ids, FID, "left_anti").select(*left.columns)
+        return left.join(ids.distinct(), FID, "left_semi").select(*l_columns)
     if how == "left_anti":
-        return unmatched
+        return left.join(ids.distinct(), FID, "left_anti").select(*l_columns)
+    # pairs serve twice, so they are found once
+    found = staged(pairs.select(_of("l", FID).alias("l_id"), _of("r", FID).alias("r_id")))
+    matched = found
+    for side, tag in ((left, "l"), (right, "r")):
+        matched = matched.join(side.select(*[F.col(f"`{c}`").alias(f"{tag}__{c}") for c in side.columns]),
+                               F.col(f"{tag}_id") == _of(tag, FID))
+    matched = out(matched)
+    unmatched = left.join(found.select(F.col("l_id").alias(FID)).distinct(), FID, "left_anti").select(*l_columns)
     types = {n: right.schema[c].dataType for c, n in r_names.items()}
     empty = [F.lit(None).cast(t).alias(n) for n, t in types.items()]
     return matched.unionByName(unmatched.select("*", *empty))

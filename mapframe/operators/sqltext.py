@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..errors import BadRequest
 from ..functions import spatial
 from ..session import prepare, quoted_identifiers
+from . import sqljoins
 
 # Rows shown by default and at most.
 PREVIEW_ROWS, PREVIEW_MAX = 200, 500
@@ -25,16 +26,20 @@ class Preview:
 
 
 def query(spark: SparkSession, sql: str) -> DataFrame:
-    """A query as a DataFrame; anything but one query is refused before it runs."""
+    """A query as a DataFrame; anything but one query is refused before it runs.
+
+    Joins on ``ST_*`` predicates become grid joins; their inputs run here, before the result is asked for.
+    """
     if not sql or not sql.strip():
         raise BadRequest("SQL query is required")
     prepare(spark)
     text = sql.strip().rstrip(";").rstrip()
     try:
         with quoted_identifiers(spark):
-            return spark.sql(f"SELECT * FROM (\n{text}\n) AS _q")
+            found = spark.sql(f"SELECT * FROM (\n{text}\n) AS _q")
     except (ParseException, AnalysisException) as e:
         raise BadRequest(f"SQL error: {e}") from e
+    return sqljoins.with_grid_joins(found)
 
 
 def as_text(field: T.StructField) -> Column:

@@ -8,7 +8,7 @@ import uuid
 from contextlib import contextmanager
 
 from pyspark import cloudpickle
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from .functions.spatial import register
 
@@ -55,3 +55,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/mapframe-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the scratch folder: later plans begin there, and rows keep the ids they were written with."""
+    spark, schema, path = df.sparkSession, df.schema, scratch_path(df.sparkSession)
+    df.write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
