@@ -44,7 +44,8 @@ def _multipoint(xs: pa.Array, ys: pa.Array) -> pa.Array:
 def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") -> DataFrame:
     """One geometry per group covering exactly what its members cover, of points, lines and polygons alike.
 
-    A group without any geometry that covers something has NULL.
+    What several lines cover counts once. Lines are not cut where they only cross, because long lines may cross as often
+    as there are pairs of them; ``ST_Union`` of two geometries does cut there. A group without any geometry that covers something has NULL.
     """
     spark = df.sparkSession
     if any(k.startswith("_") for k in keys):
@@ -56,7 +57,7 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
     schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys) + ", geometry binary"
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        merged = overlay.union([codec.parse(g) for g in pdf["geometry"]])
+        merged = overlay.union([codec.parse(g) for g in pdf["geometry"]], crossings=False)
         out = pdf[keys].head(1).copy()
         out["geometry"] = codec.encode(merged)
         return out

@@ -486,6 +486,28 @@ def join_polygons_within(spark, sf_dir):
     return joins.spatial_join(d.diamonds(spark, sf_dir), d.boxes(spark, sf_dir), "within").select("p_partkey", "s_suppkey")
 
 
+@query(f"""WITH p AS ({CUSTOMERS}), t AS ({d.SQL_TRIANGLES}), b AS ({d.SQL_BOXES})
+SELECT n_name, s_suppkey, count(*) AS n, round(sum(c_acctbal), 4) AS balance FROM p JOIN t ON {d.SQL_IN_TRIANGLE.replace("x0", "t.x0").replace("y0", "t.y0")}
+JOIN b ON x > b.x0 AND x < b.x1 AND y > b.y0 AND y < b.y1 AND c_custkey % 3 > 0 GROUP BY n_name, s_suppkey""")
+def sql_spatial_join(spark, sf_dir):
+    """Joins on spatial predicates in SQL text, as grid joins."""
+    for name, df in (("mf_points", customers(spark, sf_dir)), ("mf_triangles", d.triangles(spark, sf_dir)),
+                     ("mf_boxes", d.boxes(spark, sf_dir))):
+        df.select(*[c for c in df.columns if not c.startswith("_")]).createOrReplaceTempView(name)
+    return sqltext.query(spark, """SELECT n_name, s_suppkey, count(*) AS n, round(sum(c_acctbal), 4) AS balance
+        FROM mf_points p JOIN mf_triangles t ON ST_Intersects(p.geometry, t.geometry), mf_boxes b
+        WHERE ST_Within(p.geometry, b.geometry) AND c_custkey % 3 > 0 GROUP BY n_name, s_suppkey""")
+
+
+@query(f"""WITH p AS ({CUSTOMERS}), b AS ({SUPPLIERS}) SELECT p.c_custkey, count(b.s_suppkey) AS near
+FROM p LEFT JOIN b ON (p.x - b.x) ** 2 + (p.y - b.y) ** 2 <= 6.003 * 6.003 GROUP BY p.c_custkey""")
+def sql_spatial_left_join(spark, sf_dir):
+    for name, df in (("mf_points", customers(spark, sf_dir)), ("mf_places", suppliers(spark, sf_dir))):
+        df.select(*[c for c in df.columns if not c.startswith("_")]).createOrReplaceTempView(name)
+    return sqltext.query(spark, """SELECT c_custkey, count(s_suppkey) AS near FROM mf_points p
+        LEFT JOIN mf_places b ON ST_Distance(p.geometry, b.geometry) <= 6.003 GROUP BY c_custkey""")
+
+
 @query(f"""WITH a AS ({CUSTOMERS}), b AS ({SUPPLIERS}) SELECT c_custkey, s_suppkey, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2), 6) AS distance
 FROM a JOIN b ON (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 5.003 * 5.003""")
 def join_distance(spark, sf_dir):
@@ -678,18 +700,60 @@ def dissolve_polygons(spark, sf_dir):
     return merged.select("s_nationkey", r(spatial.st_area("geometry"), 4).alias("area"))
 
 
-@query(f"""WITH v AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM ({d.SQL_VERTICES}) WHERE vertices >= 2
-  WINDOW w AS (PARTITION BY l_orderkey ORDER BY seq)),
-l AS (SELECT l_orderkey % 25 AS k, string_agg(x || ' ' || y, ',' ORDER BY seq) AS there, string_agg(x || ' ' || y, ',' ORDER BY seq DESC) AS back,
-  sum(coalesce(sqrt((x - px) ** 2 + (y - py) ** 2), 0)) AS length FROM v WHERE px IS NULL OR x <> px OR y <> py GROUP BY l_orderkey)
-SELECT k, round(sum(length), 3) AS length FROM (SELECT k, least(there, back), any_value(length) AS length FROM l GROUP BY ALL) GROUP BY k""")
+# Every segment counts without what earlier ones on its line cover. Coordinates times 2^46 are whole numbers, so the test for
+# one line is exact; the first one only spares work.
+@query(f"""WITH s AS (SELECT *, row_number() OVER () AS id, (x * 2 ** 46)::HUGEINT AS ix, (y * 2 ** 46)::HUGEINT AS iy,
+    (u * 2 ** 46)::HUGEINT AS iu, (v * 2 ** 46)::HUGEINT AS iv, u - x AS dx, v - y AS dy
+  FROM (SELECT DISTINCT k, a[1] AS x, a[2] AS y, b[1] AS u, b[2] AS v FROM (
+    SELECT l_orderkey % 25 AS k, least((ax, ay), (ex, ey)) AS a, greatest((ax, ay), (ex, ey)) AS b
+    FROM ({d.SQL_SEGMENTS}) WHERE ex IS NOT NULL AND (ax, ay) <> (ex, ey)))),
+o AS (SELECT s.id, greatest(0, ((t.x - s.x) * s.dx + (t.y - s.y) * s.dy) / (s.dx * s.dx + s.dy * s.dy)) AS lo,
+    least(1, ((t.u - s.x) * s.dx + (t.v - s.y) * s.dy) / (s.dx * s.dx + s.dy * s.dy)) AS hi
+  FROM s JOIN s t ON s.k = t.k AND t.id < s.id AND abs(s.dx * t.dy - s.dy * t.dx) < 0.001
+    AND (s.iu - s.ix) * (t.iy - s.iy) = (s.iv - s.iy) * (t.ix - s.ix) AND (s.iu - s.ix) * (t.iv - s.iy) = (s.iv - s.iy) * (t.iu - s.ix)),
+r AS (SELECT *, max(hi) OVER (PARTITION BY id ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM o WHERE hi > lo),
+c AS (SELECT id, sum(greatest(0, hi - greatest(lo, coalesce(reach, lo)))) AS covered FROM r GROUP BY id)
+SELECT k, round(sum(sqrt(dx * dx + dy * dy) * (1 - coalesce(covered, 0))), 3) AS length FROM s LEFT JOIN c ON s.id = c.id GROUP BY k""")
 def dissolve_lines(spark, sf_dir):
-    """Equal lines count once, in whichever direction they run."""
+    """Stretches that several lines share count once, in whichever direction they run."""
     keyed = d.lines(spark, sf_dir).withColumn("k", F.col("l_orderkey") % 25)
     merged = dissolve.dissolve_polygons(keyed, ["k"])
     return merged.select("k", r(spatial.st_length("geometry"), 3).alias("length"))
 
 
+@query(f"""WITH p AS ({CUSTOMERS}), l AS (SELECT c_nationkey, c_custkey % 2 AS kind,
+  CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 50 ELSE floor(x) END AS fixed,
+  CASE WHEN c_custkey % 2 = 0 THEN floor(x) ELSE c_custkey % 50 END AS low, low + 1 + c_custkey % 9 AS high FROM p),
+m AS (SELECT *, max(high) OVER (PARTITION BY c_nationkey, kind, fixed ORDER BY low, high
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM l)
+SELECT c_nationkey, CAST(sum(greatest(0, high - greatest(low, coalesce(reach, low)))) AS DOUBLE) AS length FROM m GROUP BY c_nationkey""")
+def dissolve_overlapping_lines(spark, sf_dir):
+    """Lines along a grid that overlap in part: covered length."""
+    key = F.col("c_custkey")
+    across, up = F.floor(d.key_x(key)), key % 50
+    flat = key % 2 == 0
+    end = 1 + key % 9
+    to_x, to_y = F.when(flat, across + end).otherwise(across), F.when(flat, up).otherwise(up + end)
+    text = F.concat(F.lit('{"type":"LineString","coordinates":'),
+                    F.to_json(F.array(F.array(across, up), F.array(to_x, to_y))), F.lit("}"))
+    drawn = d.table(spark, sf_dir, "customer").select("c_nationkey", spatial.st_geomfromgeojson(text).alias("geometry"))
+    merged = dissolve.dissolve_polygons(drawn, ["c_nationkey"])
+    return merged.select("c_nationkey", spatial.st_length("geometry").alias("length"))
+
+
+@query("""SELECT 'box' AS kind, s_suppkey AS id, round((8 - 2 * d) * (6 - 2 * d), 6) AS area
+FROM (SELECT s_suppkey, 0.25::DOUBLE * (1 + s_suppkey % 4) AS d FROM supplier)
+UNION ALL SELECT 'diamond', p_partkey, round(3 * (1 - 0.3::DOUBLE * sqrt(3.25::DOUBLE) / 1.5) ** 2, 6) FROM part""")
+def polygon_inset(spark, sf_dir):
+    """Negative buffers of all boxes and diamonds: what is farther from the boundary than the distance."""
+    boxes = d.boxes(spark, sf_dir).select(F.lit("box").alias("kind"), F.col("s_suppkey").alias("id"), spatial.st_area(
+        spatial.st_buffer("geometry", F.lit(-0.25) * (1 + F.col("s_suppkey") % 4))).alias("area"))
+    diamonds = d.diamonds(spark, sf_dir).select(F.lit("diamond").alias("kind"), F.col("p_partkey").alias("id"), spatial.st_area(
+        spatial.st_buffer("geometry", F.lit(-0.3))).alias("area"))
+    return boxes.unionByName(diamonds).withColumn("area", r("area"))
+
+
 @query(f"""WITH p AS ({CUSTOMERS}), t AS ({d.SQL_TRIANGLES})
 SELECT c_custkey, NOT ({d.SQL_IN_TRIANGLE}) AS outside FROM p JOIN t ON c_nationkey % 5 = n_nationkey % 5 AND n_nationkey >= 20""")
 def overlay_points(spark, sf_dir):

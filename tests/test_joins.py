@@ -76,6 +76,36 @@ def test_no_cross_join(skewed):
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("swap", [False, True])
+def test_crowded_cells_on_either_side(spark, monkeypatch, swap):
+    """All boxes and most points lie in one cell; blocks of five rows on both sides still find every pair once."""
+    monkeypatch.setattr(joins, "CROWD", 5)
+    pts = [(i, 0.5 + (i % 7) / 100, 0.5) for i in range(120)]
+    boxes = [(i, 0.0, 0.0, 0.52 + (i % 5) / 100, 0.9) for i in range(70)]
+    p, b = point_table(spark, pts), box_table(spark, boxes)
+    want = sorted((i, j) for i, x, y in pts for j, x0, y0, x1, y1 in boxes if x0 <= x <= x1)
+    found = joins.spatial_join(b, p, broadcast_bytes=0) if swap else joins.spatial_join(p, b, broadcast_bytes=0)
+    got = sorted((r["_fid_right"], r["_fid"]) if swap else (r["_fid"], r["_fid_right"]) for r in found.collect())
+    assert got == want
+
+
+def test_only_ids_and_boxes_meet_on_cells(spark, skewed):
+    """Attributes and geometries are fetched by id; no exchange by cell carries them."""
+    _, _, p, b = skewed
+    found = joins.spatial_join(p.withColumn("note", F.lit("x")), b.withColumn("label", F.lit("y")), broadcast_bytes=0)
+    plan = found._jdf.queryExecution().optimizedPlan()
+    by_cell = []
+
+    def look(node):
+        if node.getClass().getSimpleName() == "Join" and "cx" in node.condition().toString():
+            by_cell.extend(c for side in (node.left(), node.right()) for c in side.output().mkString(" ").split())
+        for i in range(node.children().length()):
+            look(node.children().apply(i))
+
+    look(plan)
+    assert by_cell and not [c for c in by_cell if "geometry" in c or "note" in c or "label" in c]
+
+
 def test_positions_and_pages(spark, monkeypatch):
     monkeypatch.setattr(features, "BUCKET", 7)
     ids = [i * i for i in range(60)]
