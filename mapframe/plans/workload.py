@@ -700,10 +700,10 @@ def dissolve_polygons(spark, sf_dir):
     return merged.select("s_nationkey", r(spatial.st_area("geometry"), 4).alias("area"))
 
 
-# Every segment counts without what earlier ones on its line cover. Coordinates times 2^46 are whole numbers, so the test for
+# Every segment counts without what earlier ones on its line cover. Coordinates times 2^52 are whole numbers, so the test for
 # one line is exact; the first one only spares work.
-@query(f"""WITH s AS (SELECT *, row_number() OVER () AS id, (x * 2 ** 46)::HUGEINT AS ix, (y * 2 ** 46)::HUGEINT AS iy,
-    (u * 2 ** 46)::HUGEINT AS iu, (v * 2 ** 46)::HUGEINT AS iv, u - x AS dx, v - y AS dy
+@query(f"""WITH s AS (SELECT *, row_number() OVER (ORDER BY k, x, y, u, v) AS id, (x * 2 ** 52)::HUGEINT AS ix, (y * 2 ** 52)::HUGEINT AS iy,
+    (u * 2 ** 52)::HUGEINT AS iu, (v * 2 ** 52)::HUGEINT AS iv, u - x AS dx, v - y AS dy
   FROM (SELECT DISTINCT k, a[1] AS x, a[2] AS y, b[1] AS u, b[2] AS v FROM (
     SELECT l_orderkey % 25 AS k, least((ax, ay), (ex, ey)) AS a, greatest((ax, ay), (ex, ey)) AS b
     FROM ({d.SQL_SEGMENTS}) WHERE ex IS NOT NULL AND (ax, ay) <> (ex, ey)))),
