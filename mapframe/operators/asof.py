@@ -1,8 +1,9 @@
 """As-of join: the latest right row at or before each left row, per key.
 
-Time is cut into buckets.  Within a bucket a window finds the latest row; across
-buckets only one summary row per key and bucket is looked at, so a key that
-holds a large share of the rows is still spread over many tasks.
+Both sides are put in one order of key and time and cut into range partitions, so
+a key that holds most rows, even within one moment, is spread over many tasks.
+Within a partition a window finds the latest row; across partitions only one
+summary row per key and partition is looked at.
 """
 
 from __future__ import annotations
@@ -10,40 +11,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .features import in_order
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str,
-              out: str = "latest", bucket_seconds: int = 3600) -> DataFrame:
+
+def asof_join(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str = "latest") -> DataFrame:
     """``left`` with the struct ``out`` of time and value of the latest right row, NULL without one.
 
     NULL keys and NULL times match nothing. Of right rows at the same time, the one with the largest value counts.
     """
-    def bucket(t):
-        return F.floor(F.unix_micros(F.col(t).cast("timestamp")) / (bucket_seconds * 1_000_000))
-
     row = F.struct(F.col(time).alias("time"), F.col(value).alias("value"))
     known = F.col(key).isNotNull() & F.col(time).isNotNull()
-    there = right.where(known).select(F.col(key).alias("_k"), F.col(time).alias("_t"), bucket(time).alias("_b"), row.alias("_r"))
-    here = left.where(known).withColumns({"_k": F.col(key), "_t": F.col(time), "_b": bucket(time)})
-
-    # carried into a bucket: the latest row of all earlier buckets
-    last = there.groupBy("_k", "_b").agg(F.max("_r").alias("_r"))
-    buckets = here.select("_k", "_b").distinct()
-    timeline = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (last.join(buckets, ["_k", "_b"], "full")
-               .withColumn("_carry", F.last("_r", ignorenulls=True).over(timeline))
-               .select("_k", "_b", "_carry"))
-
-    # within the bucket: right rows before left rows at the same time
-    names = left.columns
-    rows = here.select("_k", "_t", "_b", F.lit(1).alias("_side"), F.struct(*names).alias("_left"),
-                       F.lit(None).cast(there.schema["_r"].dataType).alias("_r"))
-    marks = there.select("_k", "_t", "_b", F.lit(0).alias("_side"),
-                         F.lit(None).cast(rows.schema["_left"].dataType).alias("_left"), "_r")
-    so_far = (Window.partitionBy("_k", "_b").orderBy("_t", "_side", "_r")
-              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    found = (rows.unionByName(marks).withColumn("_near", F.last("_r", ignorenulls=True).over(so_far))
-             .where("_side = 1"))
-    matched = (found.join(carried, ["_k", "_b"], "left")
-               .select("_left.*", F.coalesce("_near", "_carry").alias(out)))
+    marks = right.where(known).select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(0).alias("_side"), row.alias("_r"))
+    names = [F.col(f"`{c}`") for c in left.columns]
+    rows = left.where(known).select(F.col(key).alias("_k"), F.col(time).alias("_t"), F.lit(1).alias("_side"),
+                                    F.struct(*names).alias("_left"))
+    # right rows before left rows at the same time; the rest only spreads rows that agree in everything else
+    both = rows.unionByName(marks, allowMissingColumns=True).withColumn("_spread", F.xxhash64(F.to_json("_left")))
+    ordered = in_order(both, "_k", "_t", "_side", "_r", "_spread")
+
+    so_far = Window.partitionBy("_part", "_k").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = ordered.withColumn("_near", F.last("_r", ignorenulls=True).over(so_far)).where("_side = 1")
+    # carried into a partition: the latest right row of the key in all earlier ones; right rows are in order of _r
+    last = ordered.groupBy("_k", "_part").agg(F.max("_r").alias("_last"))
+    earlier = Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("_k", "_part", F.last("_last", ignorenulls=True).over(earlier).alias("_carry")).where("_carry IS NOT NULL")
+
+    matched = found.join(carried, ["_k", "_part"], "left").select("_left.*", F.coalesce("_near", "_carry").alias(out))
     alone = left.where(~known).select("*", F.lit(None).cast(matched.schema[out].dataType).alias(out))
     return matched.unionByName(alone)

@@ -11,14 +11,13 @@ from pyspark.sql import functions as F
 from ..errors import BadRequest
 from ..functions import spatial
 from ..functions.spatial import BBOX
-from ..session import quoted_identifiers
+from ..session import quoted_identifiers, staged
 from .profile import FID, INTERNAL
 
 # Limits of one request.
 MAX_FEATURES = 500_000
 NEAR = 5_000  # pages up to here are one top-k
 MAX_DISTINCT = 100
-BUCKET = 1 << 20  # row numbers per ordering bucket
 
 
 # --- box ------------------------------------------------------------------
@@ -111,49 +110,62 @@ def cap_limit(requested: int | None, count: int, cap: int | None = MAX_FEATURES)
     return (wanted, False) if cap is None else (min(wanted, cap), wanted > cap)
 
 
-def _bucket_starts(df: DataFrame, key: str) -> DataFrame:
-    """Rows before each bucket of ``BUCKET`` consecutive key values.
+def in_order(df: DataFrame, *keys) -> DataFrame:
+    """``df`` staged in the order of ``keys``, with ``_part`` and ``_place``: range partition and place within it.
 
-    Only one row per bucket passes the single-task running sum.
+    Partitions are ranges of the keys as they are spread, so sparse or crowded values make no partition large; only rows
+    that agree in all keys have to share one.
     """
-    counts = df.groupBy(F.floor(F.col(key) / BUCKET).alias("_bucket")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.monotonically_increasing_id()  # partition number in the upper bits, row number within it in the others
+    ordered = df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).withColumn("_number", number)
+    return staged(ordered).withColumns({"_part": F.shiftright("_number", 33),
+                                        "_place": F.col("_number").bitwiseAND(F.lit((1 << 33) - 1))}).drop("_number")
 
 
 def with_position(df: DataFrame, key: str = FID, out: str = "_pos") -> DataFrame:
-    """Dense 0-based position in the order of a unique integer key.
+    """Dense 0-based position in the order of a unique key of any orderable type.
 
-    No task ever sorts more than ``BUCKET`` rows, because keys are unique.
+    Rows are counted by range partition; only those counts, one for each partition, pass a running sum.
     """
-    starts = _bucket_starts(df, key).select("_bucket", "_before")
-    bucketed = df.withColumn("_bucket", F.floor(F.col(key) / BUCKET))
-    inside = Window.partitionBy("_bucket").orderBy(key)
-    return (bucketed.withColumn("_rank", F.row_number().over(inside))
-            .join(starts, "_bucket")
-            .withColumn(out, F.col("_before") + F.col("_rank") - 1)
-            .drop("_bucket", "_before", "_rank"))
+    ordered = in_order(df, key)
+    counts = ordered.groupBy(F.col("_part").alias("_counted")).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_counted").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_counted", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    return (ordered.join(F.broadcast(starts), F.col("_part") == F.col("_counted"))
+            .withColumn(out, F.col("_before") + F.col("_place")).select(*df.columns, out))
 
 
-def page(df: DataFrame, limit: int, offset: int = 0, key: str = FID, near: int = NEAR) -> DataFrame:
-    """Rows ``offset .. offset + limit`` in key order.
+def page(df: DataFrame, limit: int, offset: int = 0, key: str = FID, near: int = NEAR, accuracy: int = 10_000) -> DataFrame:
+    """Rows ``offset .. offset + limit`` in the order of a unique key.
 
-    Some thousand rows near the start are one top-k.  For larger or deeper pages
-    a count per key bucket finds the key range of the page, so that the scan
-    reads little else and no task merges large top-k lists.
+    Some thousand rows near the start are one top-k.  For larger or deeper pages approximate quantiles give a range of
+    keys around the page and a count tells what lies before it, round by round until the range holds little else; so
+    no task merges large top-k lists, however the keys are spread.
     """
     if limit < 0 or offset < 0:
         raise BadRequest("limit and offset must not be negative")
     if offset + limit <= near:
         return df.orderBy(key).offset(offset).limit(limit)
-    spanned = (_bucket_starts(df.select(key), key)
-               .where((F.col("_before") < offset + limit) & (F.col("_before") + F.col("_rows") > offset))
-               .agg(F.min("_bucket").alias("low"), F.max("_bucket").alias("high"), F.min("_before").alias("skipped"))
-               .head())
-    if spanned.low is None:
+    rows = df.select(F.col(key).alias("_key")).where(F.col("_key").isNotNull())
+    total = rows.count()
+    if offset >= total:
         return df.limit(0)
-    in_range = df.where((F.col(key) >= spanned.low * BUCKET) & (F.col(key) < (spanned.high + 1) * BUCKET))
-    return in_range.orderBy(key).offset(offset - spanned.skipped).limit(limit)
+    inside, count, skipped, slack = F.lit(True), total, 0, 2 / accuracy
+    while count > limit + near:
+        first = (offset - skipped) / count
+        ends = [max(0.0, first - slack), min(1.0, first + limit / count + slack)]
+        low, high = rows.where(inside).agg(F.percentile_approx("_key", ends, accuracy)).head()[0]
+        within = F.col("_key").between(low, high)
+        below, found = rows.where(inside).agg(F.count_if(F.col("_key") < low), F.count_if(within)).head()
+        if below > offset - skipped or below + found < min(offset + limit, total) - skipped:
+            slack *= 4  # the sketch was off by more than it promised
+            continue
+        if found > 0.9 * count:
+            break
+        inside, count, skipped = within, found, skipped + below
+    in_range = df.withColumn("_key", F.col(key)).where(inside).drop("_key")
+    return in_range.orderBy(key).offset(offset - skipped).limit(limit)
 
 
 # --- identify -------------------------------------------------------------

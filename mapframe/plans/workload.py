@@ -133,6 +133,23 @@ def row_positions(spark, sf_dir):
     return numbered.select("o_orderkey", F.col("_pos").alias("position"))
 
 
+# 2^60 / 2^31 apart on average, and in an order of their own
+SPARSE = "CAST(l_orderkey * 8 + l_linenumber AS BIGINT) * 2654435761 % 1099511627689 * 1048573"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {SPARSE}) - 1 AS position FROM lineitem")
+def row_positions_sparse(spark, sf_dir):
+    """Positions of keys that are spread over 2^60."""
+    keyed = d.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(SPARSE).alias("_fid"))
+    return features.with_position(keyed).select("l_orderkey", "l_linenumber", F.col("_pos").alias("position"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {SPARSE} AS key FROM lineitem ORDER BY key LIMIT 700 OFFSET 4321")
+def features_page_sparse(spark, sf_dir):
+    keyed = d.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(SPARSE).alias("key"))
+    return features.page(keyed, 700, 4321, key="key", near=100, accuracy=100)
+
+
 @query("""SELECT event_id, (SELECT count(*) FROM events) > 5000 AS truncated FROM events ORDER BY event_id LIMIT 5000""")
 def features_cap(spark, sf_dir):
     """A request without a limit under a cap."""
@@ -572,6 +589,17 @@ def asof_join(spark, sf_dir):
     return found.select("event_id", "user_id", F.col("latest.value").alias("click_id"))
 
 
+@query("""WITH e AS (SELECT event_id, event_type, TIMESTAMP '2024-01-01' + to_microseconds((event_id * 7919) % 3600000000) AS at FROM events)
+SELECT b.event_id, c.event_id AS click_id FROM (SELECT * FROM e WHERE event_type <> 'click') b
+ASOF LEFT JOIN (SELECT * FROM e WHERE event_type = 'click') c ON b.at >= c.at""")
+def asof_join_hot(spark, sf_dir):
+    """All events under one key, within one hour."""
+    at = F.timestamp_micros(F.unix_micros(F.lit("2024-01-01T00:00:00Z").cast("timestamp")) + (F.col("event_id") * 7919) % 3_600_000_000)
+    e = d.table(spark, sf_dir, "events").select("event_id", "event_type", F.lit(1).alias("one"), at.alias("at"))
+    found = asof.asof_join(e.where("event_type <> 'click'"), e.where("event_type = 'click'"), "one", "at", "event_id")
+    return found.select("event_id", F.col("latest.value").alias("click_id"))
+
+
 @query("""WITH e AS (SELECT event_id, event_type, CASE WHEN event_id % 5 <> 0 THEN user_id END AS user_id,
 CASE WHEN event_id % 7 <> 0 THEN ts END AS ts FROM events),
 clicks AS (SELECT user_id, ts, max(event_id) AS event_id FROM e WHERE event_type = 'click' GROUP BY ALL)

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mapframe.functions import spatial
-from mapframe.operators import features, joins, profile
+from mapframe.operators import asof, features, joins, profile
 
 
 def point_table(spark, rows):
@@ -106,12 +106,38 @@ def test_only_ids_and_boxes_meet_on_cells(spark, skewed):
     assert by_cell and not [c for c in by_cell if "geometry" in c or "note" in c or "label" in c]
 
 
-def test_positions_and_pages(spark, monkeypatch):
-    monkeypatch.setattr(features, "BUCKET", 7)
-    ids = [i * i for i in range(60)]
-    df = spark.createDataFrame([(i,) for i in reversed(ids)], "_fid long")
+def test_positions_and_pages(spark):
+    ids = [i * i * 10 ** 12 - 5 for i in range(60)]
+    df = spark.createDataFrame([(i,) for i in reversed(ids)], "_fid long").repartition(5)
     got = sorted(map(tuple, features.with_position(df).select("_fid", "_pos").collect()))
     assert got == [(v, k) for k, v in enumerate(ids)]
     for offset in (0, 13, 55, 70):
-        page = [r[0] for r in features.page(df, 10, offset, near=0).collect()]
+        page = [r[0] for r in features.page(df, 10, offset, near=0, accuracy=100).collect()]
         assert page == ids[offset: offset + 10]
+    assert features.with_position(df.where("false")).count() == 0
+
+
+def test_pages_close_in_on_skewed_keys(spark):
+    df = spark.range(20_000).select((F.col("id") + F.pow(F.col("id") / 2000, F.lit(12)).cast("long")).alias("k"), "id")
+    want = [r.id for r in df.orderBy("k").offset(15_000).limit(30).collect()]
+    assert [r.id for r in features.page(df, 30, 15_000, key="k", near=10, accuracy=50).collect()] == want
+
+
+def test_positions_sort_no_more_than_a_partition(spark):
+    """No window runs over rows; the only one is over the counts of partitions."""
+    df = features.with_position(spark.range(1000).select((F.col("id") * 10 ** 15).alias("_fid")))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window [") == 1 and "sum(_rows" in plan
+
+
+def test_asof_one_moment(spark):
+    """One key, and most rows at one moment: range partitions share them out, and results carry over."""
+    rows = [(i, 1, 5 if 100 < i < 400 else i // 100, "r" if i % 7 == 0 else "l") for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, k int, t int, side string").repartition(4)
+    left, right = df.where("side = 'l'"), df.where("side = 'r'")
+    got = {r.id: r.latest and tuple(r.latest) for r in asof.asof_join(left, right, "k", "t", "id").collect()}
+    marks = [(t, i) for i, _, t, side in rows if side == "r"]
+    assert got == {i: max((m for m in marks if m[0] <= t), default=None) for i, _, t, side in rows if side == "l"}
+    ordered = features.in_order(df.select("k", "t", F.xxhash64("id").alias("h")), "k", "t", "h")
+    sizes = [r["count"] for r in ordered.groupBy("_part").count().collect()]
+    assert max(sizes) < 200
