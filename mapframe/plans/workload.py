@@ -806,6 +806,20 @@ def overlay_lines_boxes(spark, sf_dir):
     return left.select("l_orderkey", r(F.coalesce(spatial.st_length("left"), F.lit(0.0)), 3).alias("length"))
 
 
+@query(f"""SELECT c_custkey AS id, c_name AS name, '{{"' || c_mktsegment || '"}}' AS odd, round(x, 6) AS x, round(y, 6) AS y FROM ({CUSTOMERS})""")
+def geojson_document(spark, sf_dir):
+    """Collections on one line each, of up to 10,000 features, with braces and quotes inside of strings."""
+    path = scratch_path(spark)
+    odd = F.concat(F.lit('{"'), "c_mktsegment", F.lit('"}'))
+    rows = customers(spark, sf_dir).select("_fid", F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), odd.alias("odd"), "geometry")
+    text = geojson.feature_text(rows, "_fid")
+    documents = text.groupBy(F.floor(F.col("_fid") / 10_000)).agg(F.array_join(F.collect_list("value"), ",").alias("f"))
+    documents.select(F.concat(F.lit('{"type":"FeatureCollection","name":"}[","features":['), "f", F.lit("]}")).alias("value")).write.text(path)
+    found = geojson.read_geojson(spark, path, "document")
+    at = spatial.bounds("geometry")
+    return found.select("id", "name", "odd", r(at["xmin"]).alias("x"), r(at["ymin"]).alias("y"))
+
+
 @query(f"""SELECT c_custkey AS id, round(x, 6) AS x, round(y, 6) AS y FROM ({CUSTOMERS})
 UNION ALL SELECT -1 - n_nationkey, x0, y0 FROM ({d.SQL_TRIANGLES})""")
 def geojson_mixed_directory(spark, sf_dir):

@@ -1,15 +1,18 @@
 """GeoJSON in and out.
 
 Reading: a file with one feature per line (newline-delimited, or a collection
-written that way) is split over tasks; other documents are parsed one per task.
-A folder may hold both kinds.  What is neither a feature, nor a geometry, nor a
-line of a collection around them, is an error.
+written that way) is split over tasks line by line; other documents are cut at
+the ends of their features (see ``documents``), also over many tasks.  A folder
+may hold both kinds.  What is neither a feature, nor a geometry, nor a line of a
+collection around them, is an error.
 Writing: typed, valid JSON; newline-delimited files at any size, and one
 collection text for pages of bounded size.
 """
 
 from __future__ import annotations
 
+from urllib.parse import unquote, urlparse
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,10 +20,8 @@ from pyspark.sql import types as T
 from ..errors import BadRequest
 from ..functions import spatial
 from ..operators.profile import FID, INTERNAL
+from .documents import DOCUMENT, GEOMETRIES, document_features
 
-DOCUMENT = "type string, crs string, properties string, geometry string, coordinates string, geometries string, " \
-           "features array<struct<properties:string,geometry:string>>"
-GEOMETRIES = ("Point", "LineString", "Polygon", "MultiPoint", "MultiLineString", "MultiPolygon", "GeometryCollection")
 # whole lines of a collection that hold no feature: brackets, and members of the collection itself
 MEMBER = (r'("type"\s*:\s*"FeatureCollection"|"features"\s*:\s*\[|"(name|title|description|id)"\s*:\s*("[^"]*"|[0-9]+)'
           r'|"bbox"\s*:\s*\[[^\[\]]*\]|"crs"\s*:\s*\{[^{}]*(\{[^{}]*\})?[^{}]*\})')
@@ -35,10 +36,8 @@ def read_geojson(spark: SparkSession, path: str, layout: str = "auto", schema: s
     if layout == "lines":
         features = _lines(spark, path)
     else:
-        by_line, whole = _layouts(spark, path)
-        if layout == "document" and by_line:
-            raise BadRequest(f"Files with one feature per line are no single documents: {by_line[0]}")
-        parts = [read(spark, files) for read, files in ((_lines, by_line), (_documents, whole)) if files]
+        by_line, whole = _layouts(spark, path) if layout == "auto" else ([], _files(spark, path))
+        parts = [read(spark, files) for read, files in ((_lines, by_line), (document_features, whole)) if files]
         features = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     features = features.select(F.monotonically_increasing_id().alias(FID), "*")
     if schema is None:
@@ -52,58 +51,43 @@ def read_geojson(spark: SparkSession, path: str, layout: str = "auto", schema: s
 
 def declared_srid(spark: SparkSession, path: str) -> int | None:
     """EPSG code of a ``crs`` member, wherever it stands; files that disagree give the smallest."""
-    def least(rows: DataFrame, column: str):
-        code = F.regexp_extract(column, CRS, 1)
-        return rows.where(code != "").agg(F.min(code.cast("int"))).head()[0]
-
-    found = least(spark.read.text(path), "value")
-    if found is None:  # a member that is spread over lines
-        _, whole = _layouts(spark, path)
-        if whole:
-            docs = spark.read.schema(DOCUMENT).option("multiLine", True).json(whole)
-            found = least(docs.select(F.concat(F.lit('"crs":'), "crs").alias("crs")), "crs")
-    return found
+    code = F.regexp_extract("value", CRS, 1)  # the member's inner object ends with the first brace, on whatever line
+    found = spark.read.option("lineSep", "}").text(path).where(code != "").agg(F.min(code.cast("int")))
+    return found.head()[0]
 
 
 def _stripped() -> Column:
     return F.regexp_replace(F.trim("value"), r",$", "")
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    return spark.read.text(path).inputFiles()
+
+
 def _layouts(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
-    """Names of the files with several features or geometries on lines of their own, and of all others."""
-    kind = F.from_json(_stripped(), "type string")["type"]
-    files = (spark.read.text(path).select(F.col("_metadata.file_path").alias("file"),
-                                          kind.isin("Feature", *GEOMETRIES).cast("int").alias("own"),
-                                          (kind == "FeatureCollection").cast("int").alias("all"))
-             .groupBy("file").agg(F.sum("own").alias("own"), F.max("all").alias("all")).collect())
-    by_line = [r.file for r in files if (r.own or 0) > 0 and not r.all]
-    return by_line, [r.file for r in files if r.file not in set(by_line)]
+    """Names of the files in which every line is a feature, a geometry or a line around them, and of all others."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), _stripped().alias("line")).where("line <> ''")
+    kind = F.from_json("line", "type string")["type"]
+    own = F.coalesce(kind.isin("Feature", *GEOMETRIES), F.lit(False))
+    around = F.col("line").rlike(WRAPPER) & (F.coalesce(kind, F.lit("")) != "FeatureCollection")
+    by_line = {r.file for r in lines.groupBy("file").agg(F.bool_and(own | around).alias("all"), F.bool_or(own).alias("some"))
+               .where("all AND some").select("file").collect()}
+    # the two sources spell the same file's name in different ways
+    names = {unquote(urlparse(f).path): f for f in _files(spark, path)}
+    lined = {unquote(urlparse(f).path) for f in by_line}
+    return sorted(by_line), sorted(f for name, f in names.items() if name not in lined)
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     parsed = (spark.read.text(path).select(_stripped().alias("line")).where("line <> ''")
               .select("line", F.from_json("line", DOCUMENT).alias("f")))
-    problem = F.concat(F.lit("not one feature per line, read with layout='document': "), F.substring("line", 1, 80))
+    problem = F.concat(F.lit("not one feature per line: "), F.substring("line", 1, 80))
     bare = F.col("f.type").isin(*GEOMETRIES)
     known = (F.when((F.col("f.type") == "Feature") | bare, True).when(F.col("line").rlike(WRAPPER), False)
              .otherwise(F.raise_error(problem).cast("boolean")))
     return parsed.where(known).select("f.properties", F.when(bare, F.col("line")).otherwise(F.col("f.geometry")).alias("geometry"))
 
 
-def _documents(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    docs = spark.read.schema(DOCUMENT).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    member = F.when(F.col("type") == "GeometryCollection", F.concat(F.lit('"geometries":'), "geometries")) \
-        .otherwise(F.concat(F.lit('"coordinates":'), "coordinates"))
-    bare = F.concat(F.lit('{"type":"'), F.col("type"), F.lit('",'), member, F.lit("}"))
-    none = F.lit(None).cast("string").alias("properties")
-    single = (F.when(F.col("type") == "Feature", F.array(F.struct("properties", "geometry")))
-              .when(F.col("type").isin(*GEOMETRIES), F.array(F.struct(none, bare.alias("geometry"))))
-              .when(F.col("type") == "FeatureCollection", F.array().cast("array<struct<properties:string,geometry:string>>"))
-              .otherwise(F.raise_error(F.concat(F.lit("not GeoJSON: type "), F.coalesce("type", F.lit("missing"))))
-                         .cast("array<struct<properties:string,geometry:string>>")))
-    return docs.select(F.explode(F.coalesce("features", single)).alias("f")).select("f.properties", "f.geometry")
-
-
 def infer_properties(features: DataFrame) -> str:
     """DDL of the attributes in order of first appearance, from all rows in one aggregation."""
     pairs = features.select(FID, F.posexplode(F.from_json("properties", "map<string,variant>")))

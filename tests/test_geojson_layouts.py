@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.errors import PySparkException
 
-from mapframe.sources import geojson
+from mapframe.sources import documents, geojson
 
 
 def feature(n):
@@ -51,3 +51,72 @@ def test_late_crs(spark, tmp_path):
                        ("c", json.dumps(collection(1)))):
         (tmp_path / f"{name}.geojson").write_text(text)
         assert geojson.declared_srid(spark, str(tmp_path / f"{name}.geojson")) == (None if name == "c" else 3857)
+
+
+PRETTY = """{
+  "type": "FeatureCollection",
+  "features": [
+    {
+      "type": "Feature",
+      "properties": {"n": 1},
+      "geometry":
+        {"type": "Point", "coordinates": [1, 0]}
+    },
+    {
+      "type": "Feature", "properties": {"n": 2},
+      "geometry":
+{"type": "Point", "coordinates": [2, 0]}
+    }
+  ]
+}
+"""
+
+
+@pytest.mark.parametrize("layout", ["auto", "document"])
+def test_geometry_on_a_line_of_its_own(spark, tmp_path, layout):
+    (tmp_path / "a.geojson").write_text(PRETTY)
+    rows = geojson.read_geojson(spark, str(tmp_path / "a.geojson"), layout).collect()
+    assert sorted(r.n for r in rows) == [1, 2] and all(r.geometry for r in rows)
+
+
+def tricky(n):
+    """Braces, brackets, quotes and escapes inside of strings, nested values, and members in any order."""
+    text = ["plain", "}{", '"}', "\\", "\\\\}", '\\"', "][}", "a,\n{b", "é}", ""][n % 10]
+    members = {"geometry": {"coordinates": [n, [1.5][0]], "type": "Point"}, "type": "Feature",
+               "properties": {"n": n, "s": text, "deep": {"x": [{"y": "}"}, {"z": []}]}}}
+    return dict(sorted(members.items(), key=lambda m: (n * 7 + len(m[0])) % 3))
+
+
+@pytest.mark.parametrize("layout", ["auto", "document"])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_documents_are_read_by_many_tasks(spark, tmp_path, indent, layout):
+    docs = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "EPSG:3857"}}, "name": 'f "features": [{',
+            "features": [tricky(n) for n in range(400)], "after": {"a": [1, {"b": "}"}]}}
+    (tmp_path / "one.geojson").write_text(json.dumps(docs, indent=indent, ensure_ascii=False) + ("\n\n" if indent else ""))
+    (tmp_path / "empty.geojson").write_text('{"type":"FeatureCollection","features":[]}')
+    (tmp_path / "single.geojson").write_text(json.dumps(tricky(1000), indent=indent))
+    (tmp_path / "two.geojson").write_text(json.dumps(tricky(1001)) + "\n" + json.dumps(tricky(1002)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        parts = documents._fragments(spark, [str(tmp_path / "one.geojson")])
+        assert parts.select("block").distinct().count() > 50
+        rows = geojson.read_geojson(spark, str(tmp_path), layout).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    assert sorted((r.n, r.s) for r in rows) == sorted((n, tricky(n)["properties"]["s"]) for n in [*range(400), 1000, 1001, 1002])
+    assert all(json.loads(r.deep) == tricky(0)["properties"]["deep"] and r.geometry for r in rows)
+    firsts = [r.n for r in sorted(rows, key=lambda r: r["_fid"]) if r.n < 400]
+    assert firsts == sorted(firsts)
+    assert geojson.declared_srid(spark, str(tmp_path)) == 3857
+
+
+@pytest.mark.parametrize("bad", ['{"type":"FeatureCollection","features":[{"type":"Feature","properties":{"n":1},"geometry":null}',
+                                 '{"type":"FeatureCollection","features":[null,{"type":"Feature"}]}', '{"type":"Feature"}}', "[1,2",
+                                 '{"type":"Feature","properties":{"n":1},"geometry":null} trailing'])
+def test_broken_documents_raise(spark, tmp_path, bad):
+    (tmp_path / "a.geojson").write_text(bad)
+    with pytest.raises(PySparkException):
+        geojson.read_geojson(spark, str(tmp_path), "document", "n bigint").collect()

@@ -45,8 +45,9 @@ def test_geojson(spark, tmp_path):
         assert sorted(json.loads(t)["properties"]["n"] or 0 for t in texts) == [0, 1.0]
         assert '"z":"007"' in "".join(texts) and '"ok":true' in "".join(texts)
     (tmp_path / "broken.geojson").write_text(json.dumps(features[0]) + '\n{"type": "Feature",\n"geometry": null}\n')
+    assert geojson.read_geojson(spark, str(tmp_path / "broken.geojson")).count() == 2  # one after the other, over lines
     with pytest.raises(Exception, match="not one feature per line"):
-        geojson.read_geojson(spark, str(tmp_path / "broken.geojson"), schema="n double").collect()
+        geojson.read_geojson(spark, str(tmp_path / "broken.geojson"), "lines", "n double").collect()
 
 
 def test_geojson_crs(spark, tmp_path):
