@@ -353,3 +353,58 @@ def _from_coords(code, c):
         return POLYGON, [np.array([p[:2] for p in ring], "f8").reshape(-1, 2) for ring in c]
     single = {MULTIPOINT: POINT, MULTILINE: LINE, MULTIPOLYGON: POLYGON}[code]
     return code, [_from_coords(single, member) for member in c]
+
+
+# --- coordinates in place -------------------------------------------------------------------------
+
+@dataclass
+class Places:
+    """Coordinates of a batch: owning geometry, byte position of x, and both values."""
+
+    geom: np.ndarray
+    at: np.ndarray
+    x: np.ndarray
+    y: np.ndarray
+
+
+def with_coordinates(array, places: Places, x, y) -> pa.Array:
+    """Plain values with other numbers in the given places."""
+    data = np.array(_binary_parts(array)[3])
+    eight = np.arange(8)
+    for at, value in ((places.at, x), (places.at + 8, y)):
+        data[at[:, None] + eight] = np.ascontiguousarray(value, "<f8").view("u1").reshape(-1, 8)
+    buffers = array.buffers()
+    return pa.Array.from_buffers(array.type, len(array), [*buffers[:2], pa.py_buffer(data)], offset=array.offset)
+
+
+def coordinates(array) -> tuple[Places, np.ndarray]:
+    """Where the coordinates of plain values stand, and which values are not plain: collections, values with empty
+    parts, and those that are not little-endian 2-D WKB without an SRID, or cannot be decoded.
+
+    The length of a plain value follows from its rings. Headers are looked at as well, so a value of another layout
+    never passes for a plain one.
+    """
+    valid, begin, length, data = _binary_parts(array)
+    b = decode(array)
+    size, first = b.size, np.append(True, b.geom[1:] != b.geom[:-1]) if len(b.geom) else np.zeros(0, bool)
+    new_part = first | (b.ring == 0)
+    multi = (b.kind >= MULTIPOINT)[b.geom] if len(b.geom) else np.zeros(0, bool)
+    part_head = np.select([b.code == POINT, b.code == LINE], [5, 9], 13)
+    head = np.where(new_part, part_head, 4) + np.where(first & multi, 9, 0)
+    ends = np.cumsum(head + 16 * size)
+    before = ends - head - 16 * size
+    start_of = before[first][np.cumsum(first) - 1] if len(first) else before
+    at = begin[b.geom] + before - start_of + head  # first coordinate of each ring
+    total = np.bincount(b.geom, head + 16 * size, b.n).astype("i8")
+    good = (total == length) & (b.kind > 0) & (b.kind < COLLECTION)
+    ok = good[b.geom] if len(b.geom) else np.zeros(0, bool)
+    for wanted, where in ((b.kind[b.geom], begin[b.geom]), (b.code, at - part_head)):
+        rows = ok & (new_part if wanted is b.code else True)
+        place = where[rows]
+        fits = (data[place] == 1) & (data[place + 1] == wanted[rows]) & (data[place + 2] == 0) & (data[place + 3] == 0) & (data[place + 4] == 0)
+        good[b.geom[rows][~fits]] = False
+    keep = good[b.geom] if len(b.geom) else np.zeros(0, bool)
+    pick = spans(b.start[:-1][keep], size[keep])
+    within = np.arange(len(pick)) - np.repeat(np.cumsum(size[keep]) - size[keep], size[keep])
+    places = Places(np.repeat(b.geom[keep], size[keep]), np.repeat(at[keep], size[keep]) + 16 * within, b.x[pick], b.y[pick])
+    return places, valid & ~good

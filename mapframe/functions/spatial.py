@@ -271,24 +271,39 @@ def _buffer(geom: pa.Array, distance: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.BinaryType())
 def _transform(geom: pa.Array, source: pa.Array, target: pa.Array) -> pa.Array:
-    def move(parsed, s, t):
-        code, body = parsed
-        if body is None:
-            return parsed
-        if code == POINT:
-            x, y = crs.convert(np.array([body[0]]), np.array([body[1]]), s, t)
-            return code, (float(x[0]), float(y[0]))
-        if code == codec.LINE:
-            return code, np.column_stack(crs.convert(body[:, 0], body[:, 1], s, t))
-        if code == codec.POLYGON:
-            return code, [np.column_stack(crs.convert(r[:, 0], r[:, 1], s, t)) for r in body]
-        return code, [move(m, s, t) for m in body]
-
-    out = []
-    for v, s, t in zip(geom.to_pylist(), source.to_pylist(), target.to_pylist()):
-        parsed = codec.parse(v)
-        out.append(None if parsed is None or s is None or t is None else codec.encode(move(parsed, s, t)))
-    return pa.array(out, pa.binary())
+    """Coordinates of a whole batch at once; the few values that are not plain are parsed and written anew."""
+    if isinstance(geom, pa.ChunkedArray):
+        geom, source, target = (v.combine_chunks() for v in (geom, source, target))
+    places, odd = codec.coordinates(geom)
+    codes = [v.dictionary_encode() for v in (source, target)]
+    one, two = (c.indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in codes)
+    names = [c.dictionary.to_pylist() for c in codes]
+    known = (one >= 0) & (two >= 0)
+    x, y = places.x.copy(), places.y.copy()
+    for s, t in {*zip(one[known].tolist(), two[known].tolist())}:
+        at = ((one == s) & (two == t))[places.geom]
+        if at.any():
+            x[at], y[at] = crs.convert(x[at], y[at], names[0][s], names[1][t])
+    moved = codec.with_coordinates(geom, places, x, y)
+    moved = pa.compute.if_else(pa.array(known), moved, pa.scalar(None, pa.binary()))
+    rows = np.flatnonzero(odd & known)
+    if not len(rows):
+        return moved
+    apart = [_moved(codec.parse(geom[i].as_py()), names[0][one[i]], names[1][two[i]]) for i in rows.tolist()]
+    return pa.compute.replace_with_mask(moved, pa.array(odd & known), pa.array(map(codec.encode, apart), pa.binary()))
+
+
+def _moved(parsed, source, target):
+    if parsed is None or parsed[1] is None:
+        return parsed
+    code, body = parsed
+    if code in (POINT, codec.LINE):
+        at = np.asarray(body, "f8").reshape(-1, 2)
+        at = np.column_stack(crs.convert(at[:, 0], at[:, 1], source, target))
+        return code, tuple(at[0].tolist()) if code == POINT else at
+    if code == codec.POLYGON:
+        return code, [_moved((codec.LINE, ring), source, target)[1] for ring in body]
+    return code, [_moved(member, source, target) for member in body]
 
 
 def _drawable(b):
