@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ..errors import BadRequest
 from ..functions import codec, crs, spatial
 from ..functions.spatial import BBOX
+from ..session import staged
 
 # Names tried first, in this order, and the hidden columns.
 GEOMETRY_NAMES = ["geometry", "geom", "wkb_geometry", "the_geom", "shape"]
@@ -156,9 +157,10 @@ def cell_layout(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Neighbours next to each other, so that Parquet statistics prune box filters.
 
     The row number is part of the range key, which lets one crowded cell spread
-    over many partitions.
+    over many partitions. Rows are staged with their cells, so the source runs
+    once; ranges are sampled from two staged columns.
     """
-    keyed = df.withColumn("_cell", morton_cell())
+    keyed = staged(df.withColumn("_cell", morton_cell()))
     args = ["_cell", FID]
     ranged = keyed.repartitionByRange(partitions, *args) if partitions else keyed.repartitionByRange(*args)
     return ranged.sortWithinPartitions(*args).drop("_cell")

@@ -454,6 +454,40 @@ def transform_zone(spark, sf_dir):
                         r(back[0]).alias("lon"), r(back[1]).alias("lat"))
 
 
+def _albers_sql() -> str:
+    """The equal-area formulas for 132 E, parallels 18 and 36 S, and the polar ones for true scale at 71 S, in SQL."""
+    e, w = "0.0818191910428158::DOUBLE", "0.0818191908426215::DOUBLE"
+
+    def q(phi):
+        return f"((1 - {e} ** 2) * (sin({phi}) / (1 - ({e} * sin({phi})) ** 2) + atanh({e} * sin({phi})) / {e}))"
+
+    def m2(phi):
+        return f"(cos({phi}) ** 2 / (1 - ({e} * sin({phi})) ** 2))"
+
+    def t(phi):
+        return f"exp(-(atanh(sin({phi})) - {w} * atanh({w} * sin({phi}))))"
+
+    one, two, true = "radians(-18::DOUBLE)", "radians(-36::DOUBLE)", "radians(71::DOUBLE)"
+    return f"""WITH p AS (SELECT c_custkey, 132 + {d.sql_x('c_custkey')} / 9 AS lon, {d.sql_y('c_custkey')} / 4 - 40 AS lat FROM customer),
+k AS (SELECT ({m2(one)} - {m2(two)}) / ({q(two)} - {q(one)}) AS n), c AS (SELECT n, {m2(one)} + n * {q(one)} AS c FROM k),
+z AS (SELECT *, 6378137 * sqrt(c - n * {q('radians(lat)')}) / n AS rho, 6378137 * sqrt(c) / n AS top, n * radians(lon - 132) AS theta,
+  6378137 * cos({true}) / sqrt(1 - ({w} * sin({true})) ** 2) * {t('radians(-lat)')} / {t(true)} AS polar FROM p, c)
+SELECT c_custkey, round(rho * sin(theta), 3) AS east, round(top - rho * cos(theta), 3) AS north, round(polar * sin(radians(lon)), 3) AS px,
+round(polar * cos(radians(lon)), 3) AS py, round(lon, 6) AS lon, round(lat, 6) AS lat FROM z"""
+
+
+@query(_albers_sql())
+def transform_conic_polar(spark, sf_dir):
+    """Equal-area and polar coordinates of points, and the way back, all as geometries."""
+    k = F.col("c_custkey")
+    place = spatial.st_point(d.key_x(k) / 9 + 132, d.key_y(k) / 4 - 40)
+    rows = d.table(spark, sf_dir, "customer").select("c_custkey", place.alias("g"))
+    rows = rows.select("c_custkey", spatial.st_transform("g", 4326, 3577).alias("a"), spatial.st_transform("g", 4326, 3031).alias("b"))
+    a, b, back = (spatial.bounds(c) for c in ("a", "b", spatial.st_transform(spatial.st_transform("a", 3577, 3031), 3031, 4326)))
+    return rows.select("c_custkey", r(a["xmin"], 3).alias("east"), r(a["ymin"], 3).alias("north"), r(b["xmin"], 3).alias("px"),
+                       r(b["ymin"], 3).alias("py"), r(back["xmin"]).alias("lon"), r(back["ymin"]).alias("lat"))
+
+
 @query(f"""WITH p AS ({CUSTOMERS}) SELECT c_custkey, round(x, 6) AS lon, round(y, 6) AS lat, 4326 AS srid FROM p""")
 def dataset_reproject(spark, sf_dir):
     """A projected source ends up in lon/lat."""

@@ -2,8 +2,10 @@ import json
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from mapframe import BadRequest, Catalog, NotFound
+from mapframe.functions import spatial
 from mapframe.operators import features, sqltext
 
 THREE = [("Sydney", 151.2, -33.8, 5000000), ("Melbourne", 144.9, -37.8, 4900000), ("Brisbane", 153.0, -27.5, 2500000)]
@@ -130,3 +132,19 @@ def test_pushdown(catalog, spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     plan = catalog.features(catalog.five.id, bbox="0,0,1,1").features._jdf.queryExecution().toString()
     assert "GreaterThanOrEqual(_bbox_xmax,0.0)" in plan
+
+
+def test_the_source_runs_once(spark, tmp_path):
+    """Ranges of the layout come from staged rows, not from a second run of the source."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        calls.add(1)
+        return float(v % 50)
+
+    rows = spark.range(400).select("id", spatial.st_point(counted("id"), 1.0).alias("geometry"))
+    catalog = Catalog(spark, str(tmp_path / "store"))
+    made = catalog.create(rows, "once")
+    assert catalog.table(made).count() == 400
+    assert calls.value == 400
