@@ -37,6 +37,7 @@ GROUP = 1 << 19  # characters that are encoded together
 SLICE = 2 << 20  # bytes of text that a task hands on together
 NONE = 1 << 30  # rank of a pair that is no token
 WINDOW = 64  # characters on either side of a seam to begin with
+GATHERED = 1 << 16  # tokens that are decoded at once
 LOOSE = regex.compile(r" (?=\s|\Z)|\x00")
 CUT = regex.compile(r" (?=\S)")
 
@@ -52,6 +53,9 @@ class Codec:
     def __init__(self, ranks: bytes, pattern: str):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines()) if a}
         self.bytes_of = {v: k for k, v in self.ranks.items()}
+        spelled = [self.bytes_of.get(i, b"") for i in range(max(self.bytes_of, default=-1) + 1)]
+        self.flat, self.size = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(b) for b in spelled], np.int64)
+        self.start = np.cumsum(self.size) - self.size
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
@@ -279,6 +283,22 @@ class Codec:
         half = len(ids) // 2
         return self.plain(ids[:half]) + self.plain(ids[half:])
 
+    def spelled(self, ids: np.ndarray) -> np.ndarray:
+        """The same for many tokens: leaves are gathered from the table of bytes, then concatenated up the tree."""
+        if len(ids) <= GATHERED:
+            size = self.size[ids]
+            ends = np.cumsum(size)
+            return self.flat[np.repeat(self.start[ids] - ends + size, size) + np.arange(int(size.sum()))]
+        half = len(ids) // 2
+        return np.concatenate([self.spelled(ids[:half]), self.spelled(ids[half:])])
+
+    def decoded(self, tokens: list[bytes]) -> pa.Array:
+        """Texts of token sequences."""
+        ids = np.frombuffer(b"".join(tokens), np.int32)
+        ends = np.append(0, np.cumsum(self.size[ids]))[np.cumsum([0, *map(len, tokens)]) // 4]
+        return pa.Array.from_buffers(pa.binary(), len(tokens),
+                                     [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(self.spelled(ids))])
+
 
 def listed(tokens: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *map(len, tokens)]) // 4
@@ -323,9 +343,8 @@ def tokenized(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
             codec = Codec(ranks, pattern)
             for batch in (part for batch in batches for part in textkit.slices(batch, "text", SLICE)):
                 tokens = codec.encode_groups(batch.column("text").to_pylist())
-                decoded = [codec.plain(np.frombuffer(ids, np.int32).tolist()) for ids in tokens]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), listed(tokens), pa.array(decoded, pa.binary())], ["doc_id", "ids", "decoded"])
+                    [batch.column("doc_id"), listed(tokens), codec.decoded(tokens)], ["doc_id", "ids", "decoded"])
         finally:
             gc.enable()
 
