@@ -348,7 +348,7 @@ def tokenized(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         finally:
             gc.enable()
 
-    return whole(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return whole(docs).mapInArrow(textkit.released(run), "doc_id long, ids array<int>, decoded binary")
 
 
 def digests(tokens: DataFrame, *more: str) -> DataFrame:

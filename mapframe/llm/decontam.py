@@ -183,7 +183,7 @@ def _search(rows: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
                 [pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 3 + [pa.float64()] * 3)],
                 ["doc_id", "item_id", "first_word", "score", "question_overlap", "answer_overlap"])
 
-    return rows.mapInArrow(run, FOUND)
+    return rows.mapInArrow(textkit.released(run), FOUND)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:

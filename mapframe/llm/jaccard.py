@@ -35,6 +35,7 @@ from .common import only, small, tasks_for, whole, without, written
 from .components import components
 
 WORDS = 5
+SLICE = 1 << 20  # bytes of text whose signatures are made at a time, about
 HOT = 32
 FINEST = 32  # added to the number of a frame in the signatures of single shingles
 _U = np.uint64
@@ -116,7 +117,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                  pa.array(sketches, pa.binary()), *(pa.array([u[i] for u in used], pa.int32()) for i in (0, 1))],
                 ["doc_id", "n", "fp", "sketch", "used", "used_below"])
 
-    return whole(docs).mapInArrow(run, PROFILE)
+    return whole(docs).mapInArrow(textkit.released(run), PROFILE)
 
 
 def signatures_of(shingles: np.ndarray) -> list[np.ndarray]:
@@ -139,7 +140,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     """Signatures of all sets. If a slice holds one more than HOT / 4 times, its first row goes on alone; all its rows are
     members already, with their pivot in the slice and a key of their own."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for batch in batches for part in textkit.slices(batch, "text")):
+        for batch in (part for batch in batches for part in textkit.slices(batch, "text", SLICE)):
             ids = batch.column("doc_id").to_numpy()
             sigs, rows = [], []
             for row, shingles in shingle_sets(batch):
@@ -162,7 +163,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             local = pa.StructArray.from_arrays([pa.array(sig), pa.array(pivot)], ["sig", "pivot"], mask=pa.array(~many))
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), local], ["key", "doc_id", "local"])
 
-    return whole(docs).where("doc_id IS NOT NULL").mapInArrow(run, SIGNATURES)
+    return whole(docs).where("doc_id IS NOT NULL").mapInArrow(textkit.released(run), SIGNATURES)
 
 
 def buckets(found: DataFrame, tasks: int) -> DataFrame:
@@ -192,7 +193,7 @@ def buckets(found: DataFrame, tasks: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts)],
                                              ["sig", "doc_id", "pivot"])
 
-    return found.repartition(tasks, "key").sortWithinPartitions("key", "doc_id").mapInArrow(run, MEMBERS)
+    return found.repartition(tasks, "key").sortWithinPartitions("key", "doc_id").mapInArrow(textkit.released(run), MEMBERS)
 
 
 def close_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
@@ -216,7 +217,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     def sets(*args) -> Iterator[pa.RecordBatch]:
         *ids, batches = args
-        for batch in (part for batch in batches for part in textkit.slices(batch, "text")):
+        for batch in (part for batch in batches for part in textkit.slices(batch, "text", SLICE)):
             found = pa.array([s.tobytes() for _, s in shingle_sets(batch)], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in ids), found], [*ids, "shingles"])
 

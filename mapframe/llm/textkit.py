@@ -6,8 +6,10 @@ that a 256-entry table does not mark as separators; A-Z count as a-z.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -137,3 +139,17 @@ def batches(batch: pa.RecordBatch, column: str, separators: np.ndarray = SPACE)
     data, offsets = buffers(batch.column(column))
     for lo, hi in spans(offsets):
         yield lo, hi, words(data, offsets[lo: hi + 1], separators)
+
+
+def released(run: Callable) -> Callable:
+    """A task function that gives freed memory back when it ends: its worker stays for other tasks and would keep it."""
+    @wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU C library
+            if trim is not None:
+                trim(0)
+    return task
