@@ -13,8 +13,13 @@ Sets that share a signature form a bucket. Buckets are never expanded into all p
 2. Buckets in which all members are connected by then are done.
 3. Of the others, members are compared with all behind them, 0 to 7, 8 to 63 and so on, as far as they are not
    connected. The first of those that are left need not be the one that all met: members may have met the first one of
-   their slice of the input, or the bucket's first member is not among them. Where more than ``HOT`` sets share a signature (a passage that many texts quote), only those sets take
-   part that have k partitions or fewer which are not so common: all others share a rare one with each similar set.
+   their slice of the input, or the bucket's first member is not among them.
+4. Where more than ``HOT`` sets share a signature (a passage that many texts quote), only those sets take part that have k
+   partitions or fewer which are not so common: all others share a rare one with each similar set. These sets meet by
+   shingles instead, the rarest (within these sets) first: the first shingle that two similar ones have in common is among
+   the n / 7 + 1 rarest of the smaller set and the n / 4 + 1 rarest of the larger. So sets with more than a quarter of
+   their own meet nobody by the passage, and those with more than a seventh do not meet each other. Shingles that one set
+   alone has count against both sets of a pair.
 
 Pairs are dropped before their sets are read if the counts of their shingles in some hundred classes (more for larger
 sets) differ by more than k.
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import partial
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -281,27 +287,77 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
             labels = components(links)
 
     add(loose(stars.select("a", "b")))
-    rest = written(unfinished(members, labels, one))
     met = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    low, high = 0, 8
-    while not rest.where(F.col("nth") > low).limit(1).isEmpty():
-        head, tail = rest.where(F.col("nth").between(low, high - 1)), rest.where(F.col("nth") > low)
-        pairs = (head.select("sig", F.col("doc_id").alias("x"), F.col("nth").alias("nx"), F.col("label").alias("lx"))
-                 .join(tail.select(F.col("sig").alias("sy"), F.col("doc_id").alias("y"), F.col("nth").alias("ny"),
-                                   F.col("label").alias("ly")), (F.col("sig") == F.col("sy"))
-                       & (F.col("nx") < F.col("ny")) & (F.col("lx") != F.col("ly")))
-                 .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    cold, crowded = unfinished(members, labels, one)
+    cold = cold.select("sig", "doc_id", F.lit(True).alias("leads"), F.lit(0).alias("own"), F.lit(0).alias("n"))
+    rest = written(opened(cold.union(rarest_shingles(docs, crowded)), labels))
+    low, high = 0, 1
+    while not rest.where("leads").where(F.col("nth") >= low).limit(1).isEmpty():
+        head, tail = rest.where("leads").where(F.col("nth").between(low, high - 1)), rest.where(F.col("nth") > low)
+        x, y = (side.select(*[F.col(c).alias(f"{c}_{name}") for c in ("sig", "doc_id", "label", "own", "n", "nth")])
+                for side, name in ((head, "x"), (tail, "y")))
+        pairs = (x.join(y, (F.col("sig_x") == F.col("sig_y")) & (F.col("nth_x") < F.col("nth_y"))
+                        & (F.col("label_x") != F.col("label_y")) & F.expr("7 * (own_x + own_y) <= n_x + n_y"))
+                 .select(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if low == 0:
             pairs = pairs.join(met, ["a", "b"], "left_anti")
-        add(loose(close_enough(pairs, one)))
+        before = labels
+        add(close_enough(pairs, one))
+        if labels is not before:  # some buckets are done now; the others keep their order
+            rest = written(opened(rest.drop("label", "nth"), labels))
         low, high = high, 8 * high
     result = labels.select(F.col("doc_id").alias("_id"), "label")
     return known.join(result, F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataFrame:
-    """Members of buckets that are not connected yet and could hide a link, numbered anew within each bucket."""
+def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (sig, doc_id, leads, own, n) of buckets that are not connected yet, with labels and numbered within each bucket.
+
+    Members that lead come first; pairs of others need no look. Of buckets with the same members (neighbouring shingles of
+    one passage) one is enough.
+    """
+    labels = labels.select(F.col("doc_id").alias("_id"), "label")
+    named = rows.join(small(labels), F.col("doc_id") == F.col("_id"), "left") \
+        .select(*rows.columns, F.coalesce("label", "doc_id").alias("label"))
+    sums = [F.sum(F.xxhash64(F.lit(seed), "doc_id", "leads").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    chosen = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"),
+                                       F.max("leads").alias("led"), *sums)
+              .where("lo <> hi AND led").groupBy("size", "h1", "h2").agg(F.min("sig").alias("_sig")).select("_sig"))
+    order = Window.partitionBy("sig").orderBy(F.desc("leads"), "doc_id")
+    return named.join(chosen, F.col("sig") == F.col("_sig"), "left_semi").withColumn("nth", F.row_number().over(order) - 1)
+
+
+def rarest_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(sig, doc_id, leads, own, n): of the sets of these documents the n / 4 + 1 shingles that fewest of them have, if any other
+    has them. The first n / 7 + 1 of them lead. Similar sets are in the same class of sizes or in neighbouring ones, and
+    every set is a member of its own and of the one below. ``own`` counts the shingles that no other set has."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for batch in batches for part in textkit.slices(batch, "text", SLICE)):
+            sets = [s for _, s in shingle_sets(batch)]
+            sizes = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [*(pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in ("doc_id", "row")),
+                 pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))], ["doc_id", "row", "sig"])
+
+    rows = only(whole(docs), ids).withColumn("row", F.monotonically_increasing_id())
+    rows = written(rows.mapInArrow(textkit.released(run), "doc_id long, row long, sig long"))
+    often = written(rows.groupBy(F.col("sig").alias("_sig")).agg(F.count("*").alias("often")).where("often > 1"))
+    each = Window.partitionBy("row")
+    return (rows.join(small(often), F.col("sig") == F.col("_sig"), "left")
+            .withColumn("rank", F.row_number().over(each.orderBy(F.coalesce("often", F.lit(1)), "sig")))
+            .withColumn("n", F.count("*").over(each))
+            .withColumn("own", F.col("n") - F.count("often").over(each))
+            .where("often IS NOT NULL AND rank <= n div 4 + 1")
+            .withColumn("size_class", F.floor(F.log("n") / log(4 / 3)))
+            .withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") - 1)))
+            .groupBy(F.xxhash64("sig", "size_class").alias("sig"), "doc_id")
+            .agg(F.max(F.expr("rank <= n div 7 + 1")).alias("leads"), F.min("own").alias("own"), F.max("n").alias("n")))
+
+
+def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (sig, doc_id) of buckets of at most HOT that are not connected yet, and the documents that could hide a
+    link in larger ones."""
     labels = labels.select(F.col("doc_id").alias("_id"), "label")
     named = members.join(small(labels), F.col("doc_id") == F.col("_id"), "left") \
         .select("sig", "doc_id", F.coalesce("label", "doc_id").alias("label"))
@@ -309,7 +365,7 @@ def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataF
               .where(f"size > {HOT} OR lo <> hi").select(F.col("sig").alias("_sig"), "size", (F.col("lo") != F.col("hi"))
                                                          .alias("open")))
     named = written(named.join(spread, F.col("sig") == F.col("_sig")).dropDuplicates(["sig", "doc_id"])
-                    .select("sig", "doc_id", "label", "open", (F.col("size") > HOT).alias("hot")))
+                    .select("sig", "doc_id", "open", (F.col("size") > HOT).alias("hot")))
     code = F.col("sig").bitwiseAND(63).cast("int")
     common = (named.where("hot").groupBy("doc_id", code.alias("code")).agg(F.count("*").alias("n_hot"))
               .join(known.select(F.col("doc_id").alias("_known"), "n", "used", "used_below"),
@@ -320,11 +376,9 @@ def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> DataF
               .withColumn("most", F.expr(f"""CASE WHEN code % {FINEST} = home THEN (n + 4 * n div 3) div 7
                                                   ELSE (n + shiftleft(1L, home) - 1) div 7 END"""))
               .where("in_use - n_hot <= most").select(F.col("doc_id").alias("_doc"), F.col("code").alias("_code")))
-    left = named.where("open AND NOT hot").select("sig", "doc_id", "label").union(
-        named.where("open AND hot").join(common, (F.col("doc_id") == F.col("_doc")) & (code == F.col("_code")), "left_semi")
-        .select("sig", "doc_id", "label"))
-    order = Window.partitionBy("sig").orderBy("doc_id")
-    return left.withColumn("nth", F.row_number().over(order) - 1)
+    crowded = named.where("open AND hot").join(
+        common, (F.col("doc_id") == F.col("_doc")) & (code == F.col("_code")), "left_semi").select("doc_id").distinct()
+    return named.where("open AND NOT hot").select("sig", "doc_id"), written(crowded)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
