@@ -68,24 +68,23 @@ def test_leaks(spark, docs_of, monkeypatch):
 
 # --- language model -------------------------------------------------------------
 
-def test_language_scores(docs_of, as_dicts):
+def test_language_scores(docs_of):
     rnd = random.Random(2)
     pairs = {f"a{i}": [f"b{(7 * i + j) % 40}" for j in range(3)] for i in range(40)}
     rows = [(i, " ".join(f"{a} {rnd.choice(pairs[a])}" for a in rnd.choices(list(pairs), k=rnd.randrange(30))))
-            for i in range(200)] + [(900, None), (901, ""), (902, "New NEW words"), (900, "again")]
-    got = as_dicts(lm.language_scores(docs_of(rows).withColumn("score", F.lit("clash"))))
-    texts = {}
-    for i, text in rows:
-        texts.setdefault(i, []).extend((text or "").encode().lower().split() + [None])
-    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in texts}
-    counts = Counter(w for i, words in texts.items() if not held[i] for w in words)
+            for i in range(200)] + [(900, None), (901, ""), (902, "New NEW words"), (900, "again"),
+                                            (None, "a1 b7"), (None, None), (903, "long " * 30000)]
+    got = lm.language_scores(docs_of(rows).withColumn("score", F.lit("clash")).withColumn("row", F.lit(1))).collect()
+    texts = [(i, (text or "").encode().lower().split() + [None]) for i, text in rows]
+    held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in texts}
+    counts = Counter(w for i, words in texts if not held[i] for w in words)
     n, v = sum(counts.values()), len(counts)
-    for i, words in texts.items():
-        base = sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)
-        assert abs(got[i]["base_score"] - base) < 1e-9 * abs(base) + 1e-9
-        assert (got[i]["held_out"], got[i]["n_tokens"], got[i]["train_tokens"]) == (held[i], len(words), n)
-        assert got[i]["n_known"] == sum(counts[w] > 0 for w in words)
-    gain = [got[i]["score"] - got[i]["base_score"] for i in texts if held[i] and i < 900]
+    want = [(-1 if i is None else i, held[i], len(words), sum(counts[w] > 0 for w in words), n,
+             sum(math.log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in words)) for i, words in texts]
+    found = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in got]
+    for a, b in zip(sorted(want), sorted(found), strict=True):
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-9 * abs(a[5]) + 1e-9
+    gain = [r.score - r.base_score for r in got if r.held_out and r.doc_id is not None and r.doc_id < 900]
     assert sum(gain) > 0
     assert lm.language_scores(docs_of([])).count() == 0
 
