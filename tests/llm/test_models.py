@@ -99,7 +99,7 @@ def test_probabilities_sum_to_one():
     dish, train = np.concatenate([dish, every]), np.concatenate([np.ones(n), np.zeros(len(every))])
     context = np.concatenate([context, np.full(len(every), 3, np.uint16)])
     order = np.lexsort((context, dish))
-    part = lm.Part(lm.packed(dish[order], context[order], np.arange(len(dish)), train[order]), hot)
+    part = lm.Part((dish[order], context[order], np.arange(len(dish)), train[order].astype(np.uint8)), hot)
     first = lm.Sums(hot)
     start = lm.Sums(hot, sum(first.of(part, s) for s in part.states(first, 1, 1)), n, len(every))
     for state in part.states(start, 1, 2):
