@@ -19,9 +19,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 WORDS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
+ANY_HEX = re.compile(r"[0-9A-Fa-f]{32,}")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{28,}={0,2}")
 TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----([^-]*)-----END \1-----")
+ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40})-----((?>[^-]+|-(?!----))*+)-----END \1-----")
+HEADER = re.compile(r"^[ \t]*([A-Za-z0-9-]+): (.*)$", re.MULTILINE)
 KINDS = ("assign", "access", "hex", "key", "signed", "armour")
 SPANS = "doc_id long, spans array<struct<kind:string,start:int,end:int>>"
 LONGEST_NEST = 12
@@ -99,6 +101,15 @@ def signed(text: str) -> bool:
     return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(claims, dict)
 
 
+def armoured(body: str) -> bool:
+    """A key behind any header lines, or whole cipher blocks where the headers say that it is encrypted."""
+    headers = dict(HEADER.findall(body))
+    data = unbase64(HEADER.sub("", body))
+    if "ENCRYPTED" in headers.get("Proc-Type", "") and headers.get("DEK-Info"):
+        return len(data) >= 16 and len(data) % 8 == 0
+    return key_bytes(data)
+
+
 def spans_of(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, by start and then by kind."""
     found = []
@@ -108,13 +119,12 @@ def spans_of(text: str) -> list[tuple[int, str, int]]:
     found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     for m in HEX.finditer(text):
         found.append((m.start(), 2, m.end()))
-        if len(m[0]) >= 32 and key_bytes(unhex(m[0])):
-            found.append((m.start(), 3, m.end()))
+    found += [(m.start(), 3, m.end()) for m in ANY_HEX.finditer(text) if key_bytes(unhex(m[0]))]
     found += [(m.start(), 3, m.end()) for m in BASE64.finditer(text) if key_bytes(unbase64(m[0]))]
     if "eyJ" in text:
         found += [(m.start(), 4, m.end()) for m in TOKEN.finditer(text) if signed(m[0])]
     if "-----BEGIN " in text:
-        found += [(m.start(), 5, m.end()) for m in ARMOUR.finditer(text) if key_bytes(unbase64(m[2]))]
+        found += [(m.start(), 5, m.end()) for m in ARMOUR.finditer(text) if armoured(m[2])]
     return [(start, KINDS[kind], end) for start, kind, end in sorted(set(found))]
 
 
@@ -122,7 +132,7 @@ def secret_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, spans) of every row of (doc_id, text, ...): all secrets of the whole text in code points, end exclusive.
 
     ``assign``, ``access`` and ``hex`` are patterns. ``key`` is base64 or hex that decodes to a key, ``signed`` a token with
-    a header that names its algorithm, ``armour`` a text block around a key. NULL and empty texts have no spans.
+    a header that names its algorithm, ``armour`` a text block around a key, encrypted ones too. NULL and empty texts have no spans.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))

@@ -118,6 +118,19 @@ def test_pattern_spans_like_plain_search(docs_of, as_dicts):
         assert got[i]["base_sha256"] == hashlib.sha256(told.encode()).hexdigest()
 
 
+def test_headers_and_hex_of_either_case():
+    key = element(0x30, element(2, b"\x00") + element(2, bytes(range(1, 100))))
+    body = base64.b64encode(bytes(range(64))).decode()
+    locked = f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n{body}\n" \
+             "-----END RSA PRIVATE KEY-----"
+    assert (0, "armour", len(locked)) in secrets.spans_of(locked)
+    assert not any(k == "armour" for _, k, _ in secrets.spans_of(locked.replace("Proc-Type: 4,ENCRYPTED\n", "")))
+    for text in (key.hex(), key.hex().upper()):
+        assert (0, "key", len(text)) in secrets.spans_of(text)
+        assert not any(k == "key" for _, k, _ in secrets.spans_of(text[:-2]))
+    assert secrets.spans_of("-----BEGIN A-----" * 20000) == []
+
+
 def test_structure_decides():
     flat = base64.b64encode(KEY).decode()
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
