@@ -68,6 +68,40 @@ def test_leaks(spark, docs_of, monkeypatch):
 
 # --- language model -------------------------------------------------------------
 
+def test_everybody_is_seated_one_after_the_other():
+    """Numbers and sizes of tables of groups with more than 32 customers, against one customer at a time."""
+    rnd, rng = random.Random(3), np.random.default_rng(4)
+
+    def one_by_one(n, d, fresh):
+        tables = []
+        for i in range(n):
+            at = rnd.random() * (i - d * len(tables) + fresh) - fresh
+            k = 0
+            while at >= 0 and k < len(tables) - 1 and at >= tables[k] - d:
+                at -= tables[k] - d
+                k += 1
+            if at < 0 or not tables:
+                tables.append(1)
+            else:
+                tables[k] += 1
+        return tables
+
+    for n, d, fresh in ((120, 0.8, 3.0), (90, 0.5, 0.4), (3, 0.7, 0.5), (2, 0.8, 0.01)):
+        want = [one_by_one(n, d, fresh) for _ in range(2000)]
+        rows = 3000
+        seating = lm.Seating(np.full(rows, n), d, rng)
+        seating.open_all(np.full(rows, fresh))
+        sizes = seating.size.reshape(rows, n)
+        assert (sizes.sum(axis=1) == n).all() and (seating.tables == (sizes > 0).sum(axis=1)).all()
+        assert (seating.seat // n == np.repeat(np.arange(rows), n)).all()
+        assert (np.bincount(seating.seat, minlength=rows * n) == seating.size).all()
+        for found, known in (((sizes > 0).sum(axis=1), [len(t) for t in want]),
+                             ((sizes == 1).sum(axis=1), [t.count(1) for t in want]),
+                             (sizes.max(axis=1), [max(t) for t in want])):
+            error = math.hypot(np.std(found) / math.sqrt(rows), np.std(known) / math.sqrt(len(want)))
+            assert abs(np.mean(found) - np.mean(known)) <= 4.5 * error, (n, d, fresh)
+
+
 def test_language_scores(docs_of):
     rnd = random.Random(2)
     pairs = {f"a{i}": [f"b{(7 * i + j) % 40}" for j in range(3)] for i in range(40)}
