@@ -1,7 +1,7 @@
 """Union of the geometries of a group.
 
 Geometries are merged in rounds of bounded groups: neighbours within one grid cell
-first, at most ``FAN_IN`` at a time, then coarser cells, until one geometry per
+first, at most ``FAN_IN`` (``LINES_IN`` if there are only lines) at a time, then coarser cells, until one geometry per
 key is left.  Copies are removed before the first shuffle.  Every round is
 written to the checkpoint folder, so a lost executor repeats one round at most.
 """
@@ -18,12 +18,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import BadRequest
-from ..functions import codec, overlay
+from ..functions import codec, overlay, spatial
 from ..functions.spatial import BBOX
 from ..session import scratch_path
 from .profile import with_bounds
 
 FAN_IN = 32
+LINES_IN = 4096  # of lines alone, which are merged by sorting
 
 
 def dissolve_points(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -62,7 +63,7 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
         out["geometry"] = codec.encode(merged)
         return out
 
-    west, south, size = _grid(boxed)
+    west, south, size, fan_in = _grid(boxed, geom)
     while True:
         # counted from the lower corner, so that growing cells end as one cell
         cell = [F.floor(((F.col(low) + F.col(high)) / 2 - start) / size).alias(name)
@@ -72,7 +73,7 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
                   .select(*keys, "geometry", *cell))
         cells = [*keys, "_cx", "_cy"]
         crowd = placed.groupBy(*[F.col(c).alias(f"_crowd_{c}") for c in cells]).agg(
-            F.ceil(F.count(F.lit(1)) / FAN_IN).alias("_splits"))
+            F.ceil(F.count(F.lit(1)) / fan_in).alias("_splits"))
         same = [F.col(c).eqNullSafe(F.col(f"_crowd_{c}")) for c in cells]
         spread = placed.join(crowd, reduce(and_, same)).select(*placed.columns, "_splits")
         salted = spread.withColumn("_salt", F.pmod(F.xxhash64("geometry"), F.col("_splits")))
@@ -89,8 +90,9 @@ def dissolve_polygons(df: DataFrame, keys: list[str], geom: str = "geometry") ->
     return every.join(done, same, "left").select(*[F.col(f"_every_{k}").alias(k) for k in keys], "geometry")
 
 
-def _grid(boxed: DataFrame) -> tuple[float, float, float]:
-    """Lower corner of all features and a first cell size of four times their average width."""
+def _grid(boxed: DataFrame, geom: str) -> tuple[float, float, float, int]:
+    """Lower corner of all features, a first cell size of four times their average width, and how many are merged at once."""
     width = F.greatest(F.col(BBOX[2]) - F.col(BBOX[0]), F.col(BBOX[3]) - F.col(BBOX[1]))
-    row = boxed.agg(F.min(BBOX[0]), F.min(BBOX[1]), F.avg(width)).head()
-    return row[0] or 0.0, row[1] or 0.0, 4 * (row[2] or 1.0)
+    lines = spatial.type_code(F.col(f"`{geom}`")).isin(codec.LINE, codec.MULTILINE)
+    row = boxed.agg(F.min(BBOX[0]), F.min(BBOX[1]), F.avg(width), F.min(lines | F.col(BBOX[0]).isNull())).head()
+    return row[0] or 0.0, row[1] or 0.0, 4 * (row[2] or 1.0), LINES_IN if row[3] else FAN_IN
