@@ -33,6 +33,7 @@ from .common import whole
 LEAF_CHARS = 4096
 LEAF_BYTES = 48
 CACHED = 150_000  # chunks of text that a task remembers
+FEW = 64  # pieces that are merged one by one
 GROUP = 1 << 19  # characters that are encoded together
 SLICE = 2 << 20  # bytes of text that a task hands on together
 NONE = 1 << 30  # rank of a pair that is no token
@@ -58,6 +59,8 @@ class Codec:
         self.start = np.cumsum(self.size) - self.size
         self.pattern = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.id_bytes = [i.to_bytes(4, "little") for i in range(len(spelled))]
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         pairs = {}
         for token, rank in self.ranks.items():
@@ -165,27 +168,27 @@ class Codec:
 
     def encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Tokens of matches of the pattern. One that is a token itself is never merged differently."""
-        out: list[bytes | None] = []
-        todo, where = [], []
-        for i, piece in enumerate(pieces):
+        tokens: dict[str, bytes | None] = dict.fromkeys(pieces)
+        todo, short = [], []
+        get, spelled = self.ranks.get, self.id_bytes
+        for piece in tokens:
             raw = piece.encode("utf-8")
-            rank = self.ranks.get(raw)
+            rank = get(raw)
             if rank is not None:
-                out.append(rank.to_bytes(4, "little"))
+                tokens[piece] = spelled[rank]
             elif len(raw) <= LEAF_BYTES:
-                out.append(None)
                 todo.append(raw)
-                where.append(i)
+                short.append(piece)
             else:
-                out.append(np.array(self.tree(raw), np.int32).tobytes())
-        for i, tokens in zip(where, self.merged(todo) if todo else []):
-            out[i] = tokens
-        return out
+                tokens[piece] = np.array(self.tree(raw), np.int32).tobytes()
+        if len(todo) > FEW:
+            tokens.update(zip(short, self.merged(todo)))
+        else:
+            tokens.update((piece, np.array(self.merged_one(raw), np.int32).tobytes()) for piece, raw in zip(short, todo))
+        return [tokens[piece] for piece in pieces]
 
     def learn(self, chunks: list[str]) -> None:
         """Tokens of texts that stand between sure cuts."""
-        if len(self.known) > CACHED:
-            self.known.clear()
         pieces, counts = [], []
         for chunk in chunks:
             found = self.pattern.findall(chunk)
@@ -205,11 +208,14 @@ class Codec:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         leaves = [[self.cut(text[lo:hi]) for lo, hi in self.leaves(0, len(text))] for text in texts]
-        missing = set().union(*(parts for leaf in leaves for parts in leaf)) - self.known.keys()
-        if len(self.known) + len(missing) > CACHED:
-            self.known.clear()
-            missing = set().union(*(parts for leaf in leaves for parts in leaf))
-        self.learn(list(missing))
+        wanted = set().union(*(parts for leaf in leaves for parts in leaf))
+        if len(self.known) > CACHED // 2:  # what no text has used since the last time is forgotten
+            self.known, self.older = {}, self.known
+        missing = wanted - self.known.keys()
+        again = missing & self.older.keys()
+        for chunk in again:
+            self.known[chunk] = self.older.pop(chunk)
+        self.learn(list(missing - again))
         get = self.known.__getitem__
         return [self.halves(text, 0, len(text), iter([b"".join(map(get, parts)) for parts in leaf]))
                 for text, leaf in zip(texts, leaves)]

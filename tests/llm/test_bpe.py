@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -54,3 +55,17 @@ def test_column_and_digests(spark, docs_of, as_dicts, library):
                    "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(),
                    "decoded_sha256": hashlib.sha256(texts[0][1].encode()).hexdigest()}
     assert bpe.tokenized(docs_of([]), RAW, public_tokenizers.PATTERN).count() == 0
+
+
+def test_chunks_in_use_are_not_learned_again(monkeypatch):
+    """A full cache forgets what no text has used lately, and nothing else."""
+    monkeypatch.setattr(bpe, "CACHED", 200)
+    codec = bpe.Codec(RAW, public_tokenizers.PATTERN)
+    learned, learn = Counter(), codec.learn
+    monkeypatch.setattr(codec, "learn", lambda chunks: (learned.update(chunks), learn(chunks)))
+    want = tiktoken.Encoding("x", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    for turn in range(40):
+        text = "".join(f" often{i}" for i in range(30)) + "".join(f" only{turn}x{i}" for i in range(40)) + " end"
+        assert codec.encode(text) == want.encode_ordinary(text)
+        assert len(codec.known) + len(codec.older) < 400
+    assert max(learned.values()) == 1
