@@ -16,10 +16,8 @@ Sets that share a signature form a bucket. Buckets are never expanded into all p
    their slice of the input, or the bucket's first member is not among them.
 4. Where more than ``HOT`` sets share a signature (a passage that many texts quote), only those sets take part that have k
    partitions or fewer which are not so common: all others share a rare one with each similar set. These sets meet by
-   shingles instead, the rarest (within these sets) first: the first shingle that two similar ones have in common is among
-   the n / 7 + 1 rarest of the smaller set and the n / 4 + 1 rarest of the larger. So sets with more than a quarter of
-   their own meet nobody by the passage, and those with more than a seventh do not meet each other. Shingles that one set
-   alone has count against both sets of a pair.
+   what tells them from the shingles that most of them have, the rarest first (see ``rarest_shingles``), so that many
+   variants of one text are only compared if they vary in the same places.
 
 Pairs are dropped before their sets are read if the counts of their shingles in some hundred classes (more for larger
 sets) differ by more than k.
@@ -320,7 +318,7 @@ def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
     labels = labels.select(F.col("doc_id").alias("_id"), "label")
     named = rows.join(small(labels), F.col("doc_id") == F.col("_id"), "left") \
         .select(*rows.columns, F.coalesce("label", "doc_id").alias("label"))
-    sums = [F.sum(F.xxhash64(F.lit(seed), "doc_id", "leads").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
+    sums = [F.sum(F.xxhash64(F.lit(seed), "doc_id", "leads", "own").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
     chosen = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"),
                                        F.max("leads").alias("led"), *sums)
               .where("lo <> hi AND led").groupBy("size", "h1", "h2").agg(F.min("sig").alias("_sig")).select("_sig"))
@@ -329,9 +327,16 @@ def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def rarest_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(sig, doc_id, leads, own, n): of the sets of these documents the n / 4 + 1 shingles that fewest of them have, if any other
-    has them. The first n / 7 + 1 of them lead. Similar sets are in the same class of sizes or in neighbouring ones, and
-    every set is a member of its own and of the one below. ``own`` counts the shingles that no other set has."""
+    """(sig, doc_id, leads, own, n) of the sets of these documents: what few have in common, with the number of shingles
+    that come before it.
+
+    Similar sets are in the same class of sizes or in neighbouring ones, and every set is a member of its own and of the
+    one below. In each class a set stands for what tells it from the shingles that more than half of the class have:
+    those it has besides and those it lacks, the rarest first. Two sets differ in what these lists differ in, in
+    k = (n + n) / 7 at most if they are similar. All that stands before the first thing on both lists is on one of them
+    only, so the two numbers before it are k together: no more than n / 3 each, and no more than n / 6 on one, which leads.
+    Lists of k things together need not have anything in common, but are those of similar sets: these meet in the middle.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in textkit.slices(batch, "text", SLICE)):
             sets = [s for _, s in shingle_sets(batch)]
@@ -342,17 +347,26 @@ def rarest_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     rows = only(whole(docs), ids).withColumn("row", F.monotonically_increasing_id())
     rows = written(rows.mapInArrow(textkit.released(run), "doc_id long, row long, sig long"))
-    often = written(rows.groupBy(F.col("sig").alias("_sig")).agg(F.count("*").alias("often")).where("often > 1"))
-    each = Window.partitionBy("row")
-    return (rows.join(small(often), F.col("sig") == F.col("_sig"), "left")
-            .withColumn("rank", F.row_number().over(each.orderBy(F.coalesce("often", F.lit(1)), "sig")))
-            .withColumn("n", F.count("*").over(each))
-            .withColumn("own", F.col("n") - F.count("often").over(each))
-            .where("often IS NOT NULL AND rank <= n div 4 + 1")
-            .withColumn("size_class", F.floor(F.log("n") / log(4 / 3)))
-            .withColumn("size_class", F.explode(F.array("size_class", F.col("size_class") - 1)))
-            .groupBy(F.xxhash64("sig", "size_class").alias("sig"), "doc_id")
-            .agg(F.max(F.expr("rank <= n div 7 + 1")).alias("leads"), F.min("own").alias("own"), F.max("n").alias("n")))
+    sizes = rows.groupBy("row", "doc_id").agg(F.count("*").alias("n"))
+    sizes = written(sizes.withColumn("class", F.floor(F.log("n") / log(4 / 3)))
+                    .withColumn("class", F.explode(F.array("class", F.col("class") - 1))))
+    held = rows.join(sizes.drop("doc_id"), "row")
+    often = held.groupBy("class", "sig").agg(F.count("*").alias("often"))
+    often = written(often.join(F.broadcast(sizes.groupBy("class").agg(F.count("*").alias("all"))), "class")
+                    .withColumn("common", F.expr("2 * often > all")).where("often > 1"))
+    common = often.where("common").select("class", "sig", (F.col("all") - F.col("often")).alias("often"))
+    lacking = (sizes.join(common, "class").select("row", "doc_id", "n", "class", "sig", "often")
+               .join(rows.select("row", "sig"), ["row", "sig"], "left_anti"))
+    having = held.join(often, ["class", "sig"], "left").where("common IS NULL OR NOT common").select(
+        "row", "doc_id", "n", "class", "sig", F.coalesce("often", F.lit(1)).alias("often"))
+    each = Window.partitionBy("row", "class")
+    placed = (having.unionByName(lacking).withColumn("own", F.row_number().over(each.orderBy("often", "sig")) - 1)
+              .where("often > 1 AND 3 * own <= n").select("doc_id", "n", "class", "sig", "own"))
+    counts = having.unionByName(lacking).groupBy("row", "class").agg(F.count("*").alias("own"))
+    middle = (sizes.join(counts, ["row", "class"], "left").withColumn("own", F.coalesce("own", F.lit(0))).where("3 * own <= n")
+              .select("doc_id", "n", "class", F.lit(None).cast("long").alias("sig"), "own"))
+    return (placed.unionByName(middle).groupBy(F.xxhash64("sig", "class").alias("sig"), "doc_id")
+            .agg(F.max(F.expr("6 * own <= n")).alias("leads"), F.min("own").alias("own"), F.max("n").alias("n")))
 
 
 def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:

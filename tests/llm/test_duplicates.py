@@ -163,3 +163,30 @@ def test_members_of_common_buckets_whose_first_is_left_out(docs_of, monkeypatch)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs_of(rows).coalesce(1)).collect()}
     assert got == classes_brute(rows)
     assert got[9001][1] == 9000
+
+
+def test_variants_of_one_text_meet_by_what_they_lack(docs_of, monkeypatch):
+    """Many variants of a text that are not similar to each other are not compared in all pairs."""
+    rnd = random.Random(12)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rnd.sample(range(150), 4 if i < 120 else 2):
+            words[at] = f"v{i}x{at}"
+        rows.append((i, " ".join(words)))
+    for i in range(0, 120, 10):  # one word behind a similar variant
+        rows.append((500 + i, rows[i][1] + f" more{i}"))
+    sets = {i: {tuple(text.split()[j:j + 5]) for j in range(len(text.split()) - 4)} for i, text in rows}
+    label = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if x == high else x for i, x in label.items()}
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    compared, close_enough = [], jaccard.close_enough
+    monkeypatch.setattr(jaccard, "close_enough", lambda pairs, known: (compared.append(pairs.count()), close_enough(pairs, known))[1])
+    found = jaccard.similarity_classes(docs_of(rows)).collect()
+    assert {r.doc_id: r.component_id for r in found} == label
+    assert len(set(label.values())) > 100 and sum(compared[1:]) < 4000, compared
