@@ -35,12 +35,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import only, small, tasks_for, whole, without, written
-from .components import components
+from .common import counted, only, packed, small, tasks_for, whole, without, written
+from .components import components, connected
 
 WORDS = 5
 SLICE = 1 << 20  # bytes of text whose signatures are made at a time, about
 HOT = 32
+SETS = 1 << 11  # sets or pairs of them that a task gets, about
 FINEST = 32  # added to the number of a frame in the signatures of single shingles
 _U = np.uint64
 PROFILE = "doc_id long, n long, fp binary, sketch binary, used int, used_below int"
@@ -201,21 +202,24 @@ def buckets(found: DataFrame, tasks: int) -> DataFrame:
 
 
 def close_enough(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """Pairs (a, b) that sizes and class counts do not rule out."""
+    """Rows of a written table of pairs (a, b, ...) that sizes and class counts do not rule out."""
+    rows = pairs.count()
+    ids = written(packed(pairs.select(F.explode(F.array("a", "b")).alias("_in")).distinct(), rows))
+    known = known.join(small(ids), F.col("doc_id") == F.col("_in"), "left_semi")
     one, other = (known.select(*[F.col(c).alias(f"{c}_{side}") for c in ("doc_id", "n", "sketch")])
                   for side in "ab")
-    rows = (pairs.join(one, F.col("a") == F.col("doc_id_a")).join(other, F.col("b") == F.col("doc_id_b"))
-            .where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)"))
+    found = packed(pairs.join(one, F.col("a") == F.col("doc_id_a")).join(other, F.col("b") == F.col("doc_id_b")), rows)
+    found = found.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
 
     @F.arrow_udf("long")
     def difference(left: pa.Array, right: pa.Array) -> pa.Array:
         return pa.array(apart(left, right), pa.int64())
 
-    return rows.where(7 * difference("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    return found.where(7 * difference("sketch_a", "sketch_b") <= F.col("n_a") + F.col("n_b")).select(*pairs.columns)
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different sets that are similar enough, counted on the sets themselves.
+def verified(pairs: DataFrame, docs: DataFrame, count: int) -> DataFrame:
+    """Those of ``count`` pairs (a, b) of different sets that are similar enough, counted on the sets themselves.
 
     The sets of b go to the pair's a, so that only one set for each pair and one for each a are moved.
     """
@@ -242,7 +246,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     pivots = only(texts, pairs.select(F.col("a").alias("doc_id"))).mapInArrow(
         partial(sets, "doc_id"), "doc_id long, shingles binary")
     rows = other.join(pivots.select(F.col("doc_id").alias("_a"), F.col("shingles").alias("x")), F.col("a") == F.col("_a"))
-    return rows.select("a", "b", "x", F.col("shingles").alias("y")).mapInArrow(compare, "a long, b long")
+    return packed(rows.select("a", "b", "x", F.col("shingles").alias("y")), count, SETS).mapInArrow(compare, "a long, b long")
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
@@ -259,58 +263,59 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     one = known.where("doc_id IS NOT NULL AND n > 0")
     first = one.groupBy("fp").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("fp", "a")
     copies = written(one.join(first, "fp").where("doc_id <> a").select("a", F.col("doc_id").alias("b")))
-    members = written(buckets(signatures(without(docs, copies.select(F.col("b").alias("doc_id")))), tasks))
-    stars = (members.where("doc_id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-             .agg(F.count("*").alias("shared")))
-    stars = written(stars)
-    stars = written(close_enough(stars.select("a", "b"), one).join(stars, ["a", "b"]))
+    members, n_members = counted(buckets(signatures(without(docs, copies.select(F.col("b").alias("doc_id")))), tasks))
+    met = members.where("doc_id <> pivot").groupBy(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
+    met = written(packed(met.agg(F.count("*").alias("shared")), n_members))
+    stars, n_stars = counted(close_enough(met, one))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    links = written(copies.union(verified(written(best.select("a", "b")), docs)))
-    labels = components(links)
+    best, n_best = counted(packed(best.select("a", "b"), n_stars))
+    links, n_links = counted(copies.union(verified(best, docs, n_best)))
+    labels = components(links, n_links)
 
     def loose(pairs: DataFrame) -> DataFrame:
         """Pairs that no links connect yet."""
-        la, lb = (labels.select(F.col("doc_id").alias(f"_{s}"), F.col("label").alias(f"_l{s}")) for s in "ab")
+        la, lb = (small(labels.select(F.col("doc_id").alias(f"_{s}"), F.col("label").alias(f"_l{s}"))) for s in "ab")
         return (pairs.join(la, F.col("a") == F.col("_a"), "left").join(lb, F.col("b") == F.col("_b"), "left")
                 .where("coalesce(_la, a) <> coalesce(_lb, b)").select("a", "b"))
 
     def add(pairs: DataFrame) -> None:
-        nonlocal links, labels
-        pairs = written(pairs)
-        if pairs.isEmpty():
+        nonlocal labels
+        pairs, n = counted(pairs)
+        if not n:
             return
-        found = written(verified(pairs, docs))
-        if not found.isEmpty():
-            links = links.union(found)
-            labels = components(links)
+        found, n = counted(verified(pairs, docs, n))
+        if n:
+            labels = connected(labels, found, n)
 
     add(loose(stars.select("a", "b")))
-    met = members.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"))
-    cold, crowded = unfinished(members, labels, one)
+    cold, crowded = unfinished(members, labels, one, n_members)
     cold = cold.select("sig", "doc_id", F.lit(True).alias("leads"), F.lit(0).alias("own"), F.lit(0).alias("n"))
-    rest = written(opened(cold.union(rarest_shingles(docs, crowded)), labels))
+    rest, n_rest = counted(cold.union(rarest_shingles(docs, crowded)))
+    rest, n_rest = counted(opened(rest, labels, n_rest))
     low, high = 0, 1
     while not rest.where("leads").where(F.col("nth") >= low).limit(1).isEmpty():
         head, tail = rest.where("leads").where(F.col("nth").between(low, high - 1)), rest.where(F.col("nth") > low)
         x, y = (side.select(*[F.col(c).alias(f"{c}_{name}") for c in ("sig", "doc_id", "label", "own", "n", "nth")])
                 for side, name in ((head, "x"), (tail, "y")))
-        pairs = (x.join(y, (F.col("sig_x") == F.col("sig_y")) & (F.col("nth_x") < F.col("nth_y"))
-                        & (F.col("label_x") != F.col("label_y")) & F.expr("7 * (own_x + own_y) <= n_x + n_y"))
-                 .select(F.col("doc_id_x").alias("x"), F.col("doc_id_y").alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        pairs = packed(x.join(y, (F.col("sig_x") == F.col("sig_y")) & (F.col("nth_x") < F.col("nth_y"))
+                              & (F.col("label_x") != F.col("label_y")) & F.expr("7 * (own_x + own_y) <= n_x + n_y")), n_rest)
+        pairs = pairs.select(F.least("doc_id_x", "doc_id_y").alias("a"), F.greatest("doc_id_x", "doc_id_y").alias("b"))
+        pairs, n_pairs = counted(packed(pairs.distinct(), n_rest))
         if low == 0:
-            pairs = pairs.join(met, ["a", "b"], "left_anti")
+            pairs, n_pairs = counted(packed(pairs.join(met, ["a", "b"], "left_anti"), n_pairs))
         before = labels
-        add(close_enough(pairs, one))
+        if n_pairs:
+            add(close_enough(pairs, one))
         if labels is not before:  # some buckets are done now; the others keep their order
-            rest = written(opened(rest.drop("label", "nth"), labels))
+            rest, n_rest = counted(opened(rest.drop("label", "nth"), labels, n_rest))
         low, high = high, 8 * high
     result = labels.select(F.col("doc_id").alias("_id"), "label")
     return known.join(result, F.col("doc_id") == F.col("_id"), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "doc_id").alias("component_id"))
 
 
-def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (sig, doc_id, leads, own, n) of buckets that are not connected yet, with labels and numbered within each bucket.
+def opened(rows: DataFrame, labels: DataFrame, count: int) -> DataFrame:
+    """Of ``count`` rows (sig, doc_id, leads, own, n) those of buckets that are not connected yet, with labels and numbered within each bucket.
 
     Members that lead come first; pairs of others need no look. Of buckets with the same members (neighbouring shingles of
     one passage) one is enough.
@@ -321,9 +326,10 @@ def opened(rows: DataFrame, labels: DataFrame) -> DataFrame:
     sums = [F.sum(F.xxhash64(F.lit(seed), "doc_id", "leads", "own").cast("decimal(38,0)")).alias(f"h{seed}") for seed in (1, 2)]
     chosen = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"),
                                        F.max("leads").alias("led"), *sums)
-              .where("lo <> hi AND led").groupBy("size", "h1", "h2").agg(F.min("sig").alias("_sig")).select("_sig"))
+              .transform(packed, count).where("lo <> hi AND led").groupBy("size", "h1", "h2").agg(F.min("sig").alias("_sig")).select("_sig"))
     order = Window.partitionBy("sig").orderBy(F.desc("leads"), "doc_id")
-    return named.join(chosen, F.col("sig") == F.col("_sig"), "left_semi").withColumn("nth", F.row_number().over(order) - 1)
+    found = named.join(chosen, F.col("sig") == F.col("_sig"), "left_semi").withColumn("nth", F.row_number().over(order) - 1)
+    return packed(found, count)
 
 
 def rarest_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -340,37 +346,64 @@ def rarest_shingles(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for batch in batches for part in textkit.slices(batch, "text", SLICE)):
             sets = [s for _, s in shingle_sets(batch)]
-            sizes = [len(s) for s in sets]
+            held = pa.ListArray.from_arrays(np.cumsum([0, *map(len, sets)], dtype=np.int32),
+                                            pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [*(pa.array(np.repeat(batch.column(i).to_numpy(), sizes)) for i in ("doc_id", "row")),
-                 pa.array(np.concatenate([*sets, np.zeros(0, _U)]).view(np.int64))], ["doc_id", "row", "sig"])
+                [batch.column("doc_id"), batch.column("row"), pa.array([len(s) for s in sets], pa.int64()), held],
+                ["doc_id", "row", "n", "held"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, n, kind = (batch.column(c).to_numpy() for c in ("doc_id", "n", "class"))
+            at, sig, own = [], [], []
+            for i in range(batch.num_rows):
+                held, usual, missed, some, often = (_numbers(batch.column(c)[i])
+                                                    for c in ("held", "usual", "missed", "some", "often"))
+                lacks = ~np.isin(usual, held, assume_unique=True)
+                few = lacks & (missed == 1)  # nobody else lacks these, so nobody meets by them
+                lacks &= ~few
+                besides = n[i] - (len(usual) - int(lacks.sum()) - int(few.sum()))
+                first = besides - len(some) + int(few.sum())
+                rest, times = np.concatenate([some, usual[lacks]]), np.concatenate([often, missed[lacks]])
+                if 3 * (first + len(rest)) <= n[i]:
+                    at.append(i), sig.append([None]), own.append([first + len(rest)])
+                rest = rest[np.lexsort((rest, times))][:max(0, n[i] // 3 - first + 1)]
+                at.extend([i] * bool(len(rest))), sig.extend([rest] * bool(len(rest)))
+                own.extend([first + np.arange(len(rest))] * bool(len(rest)))
+            rows = np.repeat(np.array(at, np.intp), [len(s) for s in sig])
+            sig = pa.concat_arrays([pa.array(s, pa.int64()) for s in sig]) if sig else pa.array([], pa.int64())
+            own = pa.array(np.concatenate([*own, np.zeros(0)]).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(n[rows]), pa.array(kind[rows]), sig, own],
+                                             ["doc_id", "n", "class", "sig", "own"])
 
     rows = only(whole(docs), ids).withColumn("row", F.monotonically_increasing_id())
-    rows = written(rows.mapInArrow(textkit.released(run), "doc_id long, row long, sig long"))
-    sizes = rows.groupBy("row", "doc_id").agg(F.count("*").alias("n"))
-    sizes = written(sizes.withColumn("class", F.floor(F.log("n") / log(4 / 3)))
-                    .withColumn("class", F.explode(F.array("class", F.col("class") - 1))))
-    held = rows.join(sizes.drop("doc_id"), "row")
-    often = held.groupBy("class", "sig").agg(F.count("*").alias("often"))
-    often = written(often.join(F.broadcast(sizes.groupBy("class").agg(F.count("*").alias("all"))), "class")
-                    .withColumn("common", F.expr("2 * often > all")).where("often > 1"))
-    common = often.where("common").select("class", "sig", (F.col("all") - F.col("often")).alias("often"))
-    lacking = (sizes.join(common, "class").select("row", "doc_id", "n", "class", "sig", "often")
-               .join(rows.select("row", "sig"), ["row", "sig"], "left_anti"))
-    having = held.join(often, ["class", "sig"], "left").where("common IS NULL OR NOT common").select(
-        "row", "doc_id", "n", "class", "sig", F.coalesce("often", F.lit(1)).alias("often"))
-    each = Window.partitionBy("row", "class")
-    placed = (having.unionByName(lacking).withColumn("own", F.row_number().over(each.orderBy("often", "sig")) - 1)
-              .where("often > 1 AND 3 * own <= n").select("doc_id", "n", "class", "sig", "own"))
-    counts = having.unionByName(lacking).groupBy("row", "class").agg(F.count("*").alias("own"))
-    middle = (sizes.join(counts, ["row", "class"], "left").withColumn("own", F.coalesce("own", F.lit(0))).where("3 * own <= n")
-              .select("doc_id", "n", "class", F.lit(None).cast("long").alias("sig"), "own"))
-    return (placed.unionByName(middle).groupBy(F.xxhash64("sig", "class").alias("sig"), "doc_id")
-            .agg(F.max(F.expr("6 * own <= n")).alias("leads"), F.min("own").alias("own"), F.max("n").alias("n")))
-
-
-def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (sig, doc_id) of buckets of at most HOT that are not connected yet, and the documents that could hide a
+    rows = rows.mapInArrow(textkit.released(run), "doc_id long, row long, n long, held array<long>").where("n > 0")
+    rows = rows.withColumn("class", F.floor(F.log("n") / log(4 / 3)))
+    sets, n_sets = counted(rows.withColumn("class", F.explode(F.array("class", F.col("class") - 1))))
+    often = sets.select("class", F.explode("held").alias("sig")).groupBy("class", "sig").agg(F.count("*").alias("often"))
+    often = written(often.where("often > 1").join(F.broadcast(sets.groupBy("class").agg(F.count("*").alias("all"))), "class")
+                    .withColumn("common", F.expr("2 * often > all")))
+    both = F.sort_array(F.collect_list(F.struct("sig", (F.col("all") - F.col("often")).alias("missed"))))
+    common = often.where("common").groupBy("class").agg(both.alias("c")).select(
+        "class", F.col("c.sig").alias("usual"), F.col("c.missed").alias("missed"))
+    sets = sets.join(F.broadcast(common), "class", "left")
+    besides = sets.select("row", "class", F.explode(F.expr(
+        "CASE WHEN usual IS NULL THEN held ELSE array_except(held, usual) END")).alias("sig"))
+    told = packed(besides.join(often.where("NOT common").select("class", "sig", "often"), ["class", "sig"]), n_sets, SETS)
+    told = told.groupBy("row", "class").agg(F.collect_list("sig").alias("some"), F.collect_list("often").alias("often"))
+    placed = packed(sets.join(told, ["row", "class"], "left"), n_sets, SETS).select(
+        "doc_id", "n", "class", "held", "usual", "missed", "some", "often")
+    placed = placed.mapInArrow(textkit.released(place), "doc_id long, n long, class long, sig long, own long")
+    return packed(placed.groupBy(F.xxhash64("sig", "class").alias("sig"), "doc_id").agg(
+        F.max(F.expr("6 * own <= n")).alias("leads"), F.min("own").alias("own"), F.max("n").alias("n")), n_sets, SETS)
+
+
+def _numbers(values: pa.ListScalar) -> np.ndarray:
+    return values.values.to_numpy() if values.is_valid else np.zeros(0, np.int64)
+
+
+def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """Of ``count`` members those (sig, doc_id) of buckets of at most HOT that are not connected yet, and the documents that could hide a
     link in larger ones."""
     labels = labels.select(F.col("doc_id").alias("_id"), "label")
     named = members.join(small(labels), F.col("doc_id") == F.col("_id"), "left") \
@@ -378,8 +411,8 @@ def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> tuple
     spread = (named.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"))
               .where(f"size > {HOT} OR lo <> hi").select(F.col("sig").alias("_sig"), "size", (F.col("lo") != F.col("hi"))
                                                          .alias("open")))
-    named = written(named.join(spread, F.col("sig") == F.col("_sig")).dropDuplicates(["sig", "doc_id"])
-                    .select("sig", "doc_id", "open", (F.col("size") > HOT).alias("hot")))
+    named = named.join(spread, F.col("sig") == F.col("_sig")).dropDuplicates(["sig", "doc_id"])
+    named = written(packed(named.select("sig", "doc_id", "open", (F.col("size") > HOT).alias("hot")), count))
     code = F.col("sig").bitwiseAND(63).cast("int")
     common = (named.where("hot").groupBy("doc_id", code.alias("code")).agg(F.count("*").alias("n_hot"))
               .join(known.select(F.col("doc_id").alias("_known"), "n", "used", "used_below"),
@@ -392,6 +425,7 @@ def unfinished(members: DataFrame, labels: DataFrame, known: DataFrame) -> tuple
               .where("in_use - n_hot <= most").select(F.col("doc_id").alias("_doc"), F.col("code").alias("_code")))
     crowded = named.where("open AND hot").join(
         common, (F.col("doc_id") == F.col("_doc")) & (code == F.col("_code")), "left_semi").select("doc_id").distinct()
+    crowded = packed(crowded, count)
     return named.where("open AND NOT hot").select("sig", "doc_id"), written(crowded)
 
 

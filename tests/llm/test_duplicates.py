@@ -1,15 +1,17 @@
 """Exact and similar copies against plain Python."""
 
 import hashlib
+import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
 from mapframe.llm import exact, jaccard
-from mapframe.llm.components import components
+from mapframe.llm.components import components, connected
 
 
 def exact_brute(rows):
@@ -190,3 +192,53 @@ def test_variants_of_one_text_meet_by_what_they_lack(docs_of, monkeypatch):
     found = jaccard.similarity_classes(docs_of(rows)).collect()
     assert {r.doc_id: r.component_id for r in found} == label
     assert len(set(label.values())) > 100 and sum(compared[1:]) < 4000, compared
+
+
+def test_new_links_join_classes_in_few_tasks(spark):
+    """Labels brought up to date are those of all links, and a short table is not written as one file for each partition."""
+    rnd = random.Random(3)
+    old = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(150)] + [(900 + i, 901 + i) for i in range(20)]
+    new = [(rnd.randrange(400), rnd.randrange(400)) for _ in range(60)] + [(5, 910), (700, 701), (3, 950)]
+    frame = lambda links: spark.createDataFrame(links, "a long, b long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        labels = components(frame(old))
+        want = {r.doc_id: r.label for r in components(frame(old + new)).collect()}
+        assert len(labels.inputFiles()) <= 8
+        got = connected(labels, frame(new), len(new)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    assert len(got) == len({r.doc_id for r in got}) and {r.doc_id: r.label for r in got} == want
+
+
+def test_lists_of_what_tells_sets_apart(docs_of):
+    """Same lists as by hand, without a row for every shingle that any set lacks."""
+    rnd = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for at in rnd.sample(range(60), rnd.choice([1, 2, 5])):
+            words[at] = f"v{rnd.randrange(3)}x{at}"
+        texts.append(" ".join(words))
+    texts += [" ".join(f"u{i}y{j}" for j in range(58)) for i in range(6)]
+    docs = docs_of(list(enumerate(texts)))
+    found = jaccard.rarest_shingles(docs, docs.select("doc_id"))
+    assert "LeftAnti" not in found._jdf.queryExecution().toString()
+    sets = [next(jaccard.shingle_sets(pa.RecordBatch.from_pydict({"text": [t]})))[1].view(np.int64).tolist() for t in texts]
+    want = []
+    home = [math.floor(math.log(len(s)) / math.log(4 / 3)) for s in sets]
+    for kind in {k - below for k in home for below in (0, 1)}:
+        inside = [i for i, k in enumerate(home) if kind in (k, k - 1)]
+        often = Counter(s for i in inside for s in sets[i])
+        usual = {s for s, n in often.items() if n > 1 and 2 * n > len(inside)}
+        for i in inside:
+            n = len(sets[i])
+            told = sorted([(often[s], s) for s in set(sets[i]) - usual] + [(len(inside) - often[s], s) for s in usual - set(sets[i])])
+            want += [(i, own, n, 6 * own <= n) for own, (times, _) in enumerate(told) if times > 1 and 3 * own <= n]
+            want += [(i, len(told), n, 6 * len(told) <= n)] * (3 * len(told) <= n)
+    assert sorted((r.doc_id, r.own, r.n, r.leads) for r in found.collect()) == sorted(want)
