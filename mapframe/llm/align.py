@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .common import whole, written
+from .common import counted, whole, written
 
 SLICE = 1 << 20  # bytes of text that are aligned and counted together; a longer text is a slice of its own
+TOGETHER = 16  # slices in a file and, about, in a task that sums: their rows are wide, and batches are bounded by rows alone
 
 
 SAFE = np.zeros(256, bool)  # printable ASCII but the space: neither side has a token from such a byte into a space
@@ -301,7 +302,7 @@ def aligned_slices(docs: DataFrame, sides: Callable[[], tuple[Side, Side]]) -> D
                 number += 1
 
     rows = whole(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return rows.mapInArrow(run, f"slice long, {DOC}, {LISTS}")
+    return rows.mapInArrow(textkit.released(run), f"slice long, {DOC}, {LISTS}")
 
 
 def pair_counts(slices: DataFrame) -> DataFrame:
@@ -316,15 +317,16 @@ def pair_counts(slices: DataFrame) -> DataFrame:
         "a", "b", "count", (F.col("count") == F.col("most")).alias("best"))
 
 
-def summed(slices: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row per document: its numbers, n_best and count_sum."""
+def summed(slices: DataFrame, counts: DataFrame, n_slices: int) -> DataFrame:
+    """One row per document: its numbers, n_best and count_sum. Tasks are as many as slices ask for, so none grows."""
+    tasks = max(8, -(-n_slices // TOGETHER))
     own = slices.select("slice", F.posexplode(F.arrays_zip("a", "b")).alias("at", "p"))
     own = own.select("slice", "at", F.col("p.a").alias("pa"), F.col("p.b").alias("pb"))
     told = (own.join(counts, (F.col("pa") == F.col("a")) & (F.col("pb") == F.col("b")))
-            .groupBy(F.col("slice").alias("_slice"))
+            .select(F.col("slice").alias("_slice"), "at", "count", "best").repartition(tasks, "_slice").groupBy("_slice")
             .agg(F.sort_array(F.collect_list(F.struct("at", "count", "best"))).alias("told")))
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256"]
-    rows = (slices.select("slice", *names, "pair", "n_pair", "pairs_of")
+    rows = (slices.select("slice", *names, "pair", "n_pair", "pairs_of").repartition(tasks, "slice")
             .join(told, F.col("slice") == F.col("_slice"), "left")
             .select(*names, "pair", "n_pair", "pairs_of", F.col("told.count").alias("count"), F.col("told.best").alias("best")))
 
@@ -347,7 +349,7 @@ def summed(slices: DataFrame, counts: DataFrame) -> DataFrame:
                     out[name] = pa.array(total)
                 yield pa.RecordBatch.from_pydict(out)
 
-    return rows.mapInArrow(run, "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
+    return rows.mapInArrow(textkit.released(run), "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
                                 "n_best long, count_sum long")
 
 
@@ -361,6 +363,6 @@ def aligned(docs: DataFrame, byte_level_json: bytes, piece_model: bytes) -> Data
     each has its row; a NULL doc_id stays NULL. Other columns are not read. A text is tokenized whole, in the memory of
     one task. No rows give no rows.
     """
-    slices = written(aligned_slices(docs, lambda: (byte_level(byte_level_json), pieces(piece_model))))
-    return summed(slices, pair_counts(slices)).select(
+    slices, n = counted(aligned_slices(docs, lambda: (byte_level(byte_level_json), pieces(piece_model))), TOGETHER)
+    return summed(slices, pair_counts(slices), n).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

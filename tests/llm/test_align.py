@@ -6,6 +6,7 @@ from collections import Counter
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from mapframe.llm import align
 
@@ -107,3 +108,13 @@ def test_quick_encoding_is_that_of_the_json(files):
     texts += [" don't they'll I'VE it's 's 're\n\n  x", " " * 50 + "\n" * 9 + "x", " 1234567890 ½²"]
     assert side.encode(texts) == [e.ids for e in slow.encode_batch(texts, add_special_tokens=False)]
     assert all(align.SETTLED.fullmatch(t) for t in texts[:3000])
+
+
+def test_tasks_grow_with_the_slices(docs_of, files, monkeypatch):
+    """A task, and a file that is read at once, holds a bounded number of slices, whose rows are wide."""
+    monkeypatch.setattr(align, "SLICE", 16)
+    docs = docs_of([f"text number {i} of the corpus" for i in range(600)])
+    slices, n = align.counted(align.aligned_slices(docs, lambda: (align.byte_level(files[0]), align.pieces(files[1]))), align.TOGETHER)
+    assert n == 600 and max(r["count"] for r in slices.groupBy(F.input_file_name()).count().collect()) <= align.TOGETHER
+    rows = align.aligned(docs, *files).select("doc_id", F.spark_partition_id().alias("task"))
+    assert rows.groupBy("task").count().count() > 30 and rows.select("doc_id").distinct().count() == 600
