@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from mapframe.functions import spatial
 from mapframe.operators import asof, features, joins, profile
+from mapframe.plans import derived
 
 
 def point_table(spark, rows):
@@ -141,3 +142,16 @@ def test_asof_one_moment(spark):
     ordered = features.in_order(df.select("k", "t", F.xxhash64("id").alias("h")), "k", "t", "h")
     sizes = [r["count"] for r in ordered.groupBy("_part").count().collect()]
     assert max(sizes) < 200
+
+
+@pytest.mark.parametrize("largest", [0, 15, 1 << 20])
+def test_large_sides_are_not_collected(spark, monkeypatch, largest):
+    """Geometries and attributes of a side that was measured to be large come by a shuffle, whatever Spark guesses."""
+    sides = derived.diamonds(spark, "/root/testdata/sf0.001"), derived.boxes(spark, "/root/testdata/sf0.001")
+    want = sorted((r.p_partkey, r.s_suppkey) for r in joins.spatial_join(*sides).collect())
+    monkeypatch.setattr(joins, "FETCH_ROWS", largest)
+    found = joins.spatial_join(*sides, broadcast_bytes=0)
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    sent = [line for line in plan if "BroadcastHashJoin" in line and "_key" in line]
+    assert len(sent) == {0: 0, 15: 2, 1 << 20: 4}[largest]  # ten boxes, two hundred diamonds, fetched twice each
+    assert want and sorted((r.p_partkey, r.s_suppkey) for r in found.collect()) == want
