@@ -149,6 +149,15 @@ def test_probabilities_sum_to_one():
         assert (t2 <= part.customers).all() and (t2[part.customers > 0] > 0).all() and c1.sum() == t2.sum()
 
 
+def test_two_previous_words_tell_the_next(docs_of):
+    """Every pair of previous words has its own counts, also after a word that is a third of all tokens."""
+    rnd = random.Random(5)
+    texts = [" ".join(f"k{k} x v{7 * k % 600}" for k in rnd.choices(range(600), k=60)) for _ in range(300)]
+    rows = lm.language_scores(docs_of(texts)).where("held_out").collect()
+    known = sum(r.score for r in rows) / sum(r.n_tokens - 1 for r in rows) * 3  # of k, x and v together
+    assert rows and known > -math.log10(600) - 0.7  # k is anyone's guess; v would be, too, were it not for k
+
+
 def test_packing():
     for kind in (np.uint64, np.int64, np.uint16, np.uint8):
         for n in (0, 1, 1000):
